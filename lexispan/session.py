@@ -43,7 +43,7 @@ def cut(df: DataFrame) -> DataFrame:
     """Writes the rows once, as Parquet in the shared folder, and reads them from there: lineage ends, and the loss of an executor costs nothing."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/lexispan-{uuid.uuid4().hex}"
-    df.write.mode("errorifexists").parquet(path)
+    df.write.mode("errorifexists").option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
