@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lexispan.plans import statistics
+from lexispan.plans import statistics, text
 
 Query = Callable[[SparkSession, str], DataFrame]
-MODULES = (statistics,)
+MODULES = (statistics, text)
 
 
 def queries() -> dict[str, Query]:
