@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lexispan.plans import statistics, text
+from lexispan.plans import models, statistics, text
 
 Query = Callable[[SparkSession, str], DataFrame]
-MODULES = (statistics, text)
+MODULES = (statistics, text, models)
 
 
 def queries() -> dict[str, Query]:

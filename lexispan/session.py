@@ -7,6 +7,8 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 
 def get_session(app: str = "lexispan", *, cores: str = "*", shuffle_partitions: int = 8, driver_memory: str = "12g") -> SparkSession:
     """A local session for tests and benchmarks; a cluster brings its own."""
@@ -43,7 +45,12 @@ def cut(df: DataFrame) -> DataFrame:
     """Writes the rows once, as Parquet in the shared folder, and reads them from there: lineage ends, and the loss of an executor costs nothing."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/lexispan-{uuid.uuid4().hex}"
-    df.write.mode("errorifexists").option("compression", "zstd").parquet(path)
+    before = spark.conf.get(_CLEANUP, None)
+    spark.conf.set(_CLEANUP, "true")  # the shuffles of this write aren't needed once the table is there
+    try:
+        df.write.mode("errorifexists").option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.unset(_CLEANUP) if before is None else spark.conf.set(_CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
