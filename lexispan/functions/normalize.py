@@ -111,3 +111,13 @@ def normalized(text: Column) -> Column:
     text = F.translate(without_numbers(without_noise(text)), DIGITS, "")
     text = tidy_space(devanagari_only(punctuated(text)))
     return tidy_space(_drop_lines(punctuated(text), r"^[।॥]$"))
+
+
+def light_devanagari(text: Column) -> Column:
+    """After transliteration: single spaces, no marks at a line's start, dandas and commas close to their word, one blank line between paragraphs."""
+    text = F.regexp_replace(F.regexp_replace(text, r"\r\n|\r", "\n"), r"(?U)[\s&&[^\n]]+", " ")
+    text = F.regexp_replace(F.regexp_replace(text, r"(?m)^[ ।,]+", ""), r" +,", ",")
+    text = F.regexp_replace(F.regexp_replace(text, r" +([।॥])", "$1"), r"([।॥])", "$1 ")
+    text = F.regexp_replace(F.regexp_replace(text, " +", " "), r" ([।॥])", "$1")
+    text = F.regexp_replace(F.regexp_replace(text, r"(?m)^ +| +$", ""), r"\n{2,}", "\n\n")
+    return nfc(F.regexp_replace(text, r"^\n+|\n+$", ""))

@@ -83,10 +83,12 @@ def transform_script(text: str, source: str, target: str) -> str:
     """Dispatch; the same script is only composed (NFC)."""
     if source == target:
         return unicodedata.normalize("NFC", text)
-    routes = {("iast", "devanagari"): iast_to_devanagari, ("devanagari", "iast"): devanagari_to_iast, ("devanagari", "iast_injective"): devanagari_to_injective}
-    if (source, target) not in routes:
+    if (source, target) not in ROUTES:
         raise ValueError(f"unsupported conversion: {source} to {target}")
-    return routes[source, target](text)
+    return ROUTES[source, target](text)
+
+
+ROUTES = {("iast", "devanagari"): iast_to_devanagari, ("devanagari", "iast"): devanagari_to_iast, ("devanagari", "iast_injective"): devanagari_to_injective}
 
 
 def _column(function) -> object:
@@ -105,6 +107,17 @@ to_iast = _column(devanagari_to_iast)
 to_injective = _column(devanagari_to_injective)
 
 
+def converted(text: Column, source: Column, target: str) -> Column:
+    """As scripted, in one Arrow call for both scripts."""
+
+    @F.pandas_udf(T.StringType())
+    def run(texts: pd.Series, sources: pd.Series) -> pd.Series:
+        one = lambda x, s: None if x is None or x != x else transform_script(x, s, target) if (s, target) in ROUTES else unicodedata.normalize("NFC", x)
+        return pd.Series([one(x, s) for x, s in zip(texts, sources, strict=True)], dtype=object)
+
+    return run(text, source)
+
+
 def scripted(text: Column, source: Column, target: str) -> Column:
     """Texts of either script in the target script; a null or unknown source script leaves the text composed."""
     if target == "devanagari":

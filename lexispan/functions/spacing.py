@@ -108,3 +108,19 @@ def split_on_danda(line: Column, marks: str = "।॥") -> Column:
 def longest_iast_tokens(text: Column) -> Column:
     """Letters by longest match, a digraph being one; all other characters one by one."""
     return F.regexp_extract_all(text, F.lit(f"(?s)({'|'.join((*ASPIRATES, 'ai', 'au'))}|[|]{{2}}|.)"), F.lit(1))
+
+
+def joined_tokens(tokens: Column) -> Column:
+    """Letters and spaces (longest_iast_tokens) without the spaces that legacy joining drops; other runs of spaces are one space."""
+    consonants = F.array(*(F.lit(c) for c in (*ASPIRATES, *_CONSONANTS)))
+    vowels = F.array(*(F.lit(v) for v in (*_VOWELS, "ai", "au")))
+    blank = lambda x: x.rlike(r"(?U)^\s$")
+
+    def kept(x: Column, i: Column) -> Column:
+        before = F.get(tokens, i - 1)
+        after = F.get(F.filter(F.slice(tokens, i + 2, F.size(tokens)), lambda y: ~blank(y)), F.lit(0))
+        c, v = F.array_contains(consonants, before), F.array_contains(vowels, before)
+        seam = (c & (F.array_contains(consonants, after) | F.array_contains(vowels, after))) | (v & (after == "'"))
+        return ~blank(x) | (x == "\n") | ~(F.coalesce(seam, F.lit(False)) | F.coalesce(blank(before), F.lit(False)))
+
+    return F.filter(tokens, kept)

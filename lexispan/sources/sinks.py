@@ -23,14 +23,11 @@ def write_table(df: DataFrame, path: str, *, partition_by: tuple[str, ...] = ())
 
 def represented(documents: DataFrame, *, text: str = "text", script: str = "script", conditions: tuple[tuple[str, str], ...] = REPRESENTATIONS) -> DataFrame:
     """Every document under every (script, condition); identity and split stay as they are."""
-    frames = []
-    for target, condition in conditions:
-        converted = documents.withColumn("represented", spacing.spaced(scripts.scripted(F.col(text), F.col(script), target), condition, target))
-        frames.append(converted.drop(text, script).withColumns({"script": F.lit(target), "condition": F.lit(condition)}))
-    out = frames[0]
-    for frame in frames[1:]:
-        out = out.unionByName(frame)
-    return out
+    targets = list(dict.fromkeys(target for target, _ in conditions))
+    converted = documents.withColumns({f"_{t}": scripts.converted(F.col(text), F.col(script), t) for t in targets})
+    forms = [F.struct(F.lit(t).alias("script"), F.lit(c).alias("condition"), spacing.spaced(F.col(f"_{t}"), c, t).alias("represented")) for t, c in conditions]
+    kept = [c for c in documents.columns if c not in (text, script)]
+    return converted.select(*kept, F.explode(F.array(*forms)).alias("_r")).select(*kept, "_r.*")
 
 
 def write_representations(documents: DataFrame, path: str, **options) -> DataFrame:
@@ -97,4 +94,4 @@ def write_results(df: DataFrame, path: str) -> None:
     elif path.endswith(".csv"):
         rows.option("header", True).csv(path)
     else:
-        raise ValueError("a result table is .json or .csv")
+        raise ValueError("a result table is json or csv by its suffix")

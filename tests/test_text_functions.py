@@ -90,3 +90,9 @@ def test_hashing(spark):
     docs = spark.range(4000).select(F.col("id").cast("string").alias("d"))
     shares = {r[0]: r[1] / 4000 for r in docs.groupBy(hashing.assigned_split(F.col("d"))).count().collect()}
     assert abs(shares["train"] - 0.8) < 0.03 and abs(shares["dev"] - 0.1) < 0.02
+
+
+def test_light_normaliser_and_tokens(spark):
+    assert applied(spark, normalize.light_devanagari, [" । राम  गच्छति ।सीता ,\r\n\n\n\nवनम् ॥ ", None]) == ["राम गच्छति। सीता,\n\nवनम्॥", None]
+    join = lambda c: spacing.joined_tokens(spacing.longest_iast_tokens(c))
+    assert applied(spark, join, ["a 'a", "t t", "t a", "a t", "t h"]) == [["a", "'", "a"], ["t", "t"], ["t", "a"], ["a", " ", "t"], ["t", "h"]]
