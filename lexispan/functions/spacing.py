@@ -36,9 +36,14 @@ def compact(text: Column) -> Column:
 
 
 def _recomposed(text: Column) -> Column:
-    """Consonant, virama, gap, vowel become the consonant with the vowel's sign: no sound changes, only the writing."""
+    """Consonant, virama, gap, vowel become the consonant with the vowel's sign: no sound changes, only the writing.
+
+    One pattern, which can only begin at a virama, marks all seams; the rest are plain replacements.
+    """
+    seam = "\ue000"
+    text = _sub(text, f"(?<={_DEVA_C}){VIRAMA}{GAP}+(?={_DEVA_V})", seam)
     for vowel, sign in _SIGN_OF.items():
-        text = _sub(text, f"({_DEVA_C}){VIRAMA}{GAP}+{vowel}", f"$1{sign}")
+        text = F.replace(text, F.lit(seam + vowel), F.lit(sign))
     return text
 
 

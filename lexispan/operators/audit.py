@@ -102,3 +102,24 @@ def repeated_headers(documents: DataFrame, *, key: str = "doc_id", text: str = "
     """(key, line, n, first_line): short lines that a document repeats, followed by a blank line or not."""
     rows = lines_of(documents, key=key, text=text).withColumn("line", F.trim("line")).where((F.col("line") != "") & (F.length("line") <= longest))
     return rows.groupBy(key, "line").agg(F.count(F.lit(1)).alias("n"), F.min("line_no").alias("first_line")).where(F.col("n") >= times)
+
+
+def strict_violations(documents: DataFrame, *, key: str = "doc_id", text: str = "text", alphabet: str = ALPHABET) -> DataFrame:
+    """(key, line_no, column, char) of every character outside the alphabet."""
+    rows = lines_of(documents, key=key, text=text).select(key, "line_no", F.posexplode(characters(F.col("line"))).alias("column", "char"))
+    return rows.where(~F.contains(F.lit(alphabet), F.col("char")))
+
+
+def strict_examples(documents: DataFrame, *, key: str = "doc_id", text: str = "text", limit: int = 2000) -> DataFrame:
+    """The first violations by document, line and column; none means that the corpus is clean."""
+    return strict_violations(documents, key=key, text=text).orderBy(key, "line_no", "column").limit(limit)
+
+
+def triage(inventory: DataFrame) -> DataFrame:
+    """(category, characters, n): each character of an inventory in one category, the first that fits: script, mark, number, layout, noise."""
+    c = F.col("class")
+    category = (
+        F.when(c.isin("devanagari", "devanagari_danda", "devanagari_digit"), "script").when(c.isin("combining"), "mark").when(c.isin("digit"), "number")
+        .when(c.isin("space", "danda", "western_mark"), "layout").when(c.isin("lower_ascii", "upper_ascii", "iast"), "letter").otherwise("noise")
+    )
+    return inventory.groupBy(category.alias("category")).agg(F.count(F.lit(1)).alias("characters"), F.sum("n").alias("n"))

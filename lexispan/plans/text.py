@@ -8,7 +8,7 @@ from lexispan.functions import hashing, normalize, phonology, script, spacing
 from lexispan.operators import audit, duplicates, ngrams, tokenizers
 from lexispan.operators.usage import word_rows
 from lexispan.plans.statistics import CELL_A, CELL_B, WORDS, r6, table
-from lexispan.sources import corpus, sinks
+from lexispan.sources import build, corpus, sinks
 
 ORDER, ALPHA = 3, 0.1
 
@@ -93,6 +93,23 @@ def char_class_audit(spark, sf):
     return audit.character_inventory(_documents(spark, sf)).groupBy("class").agg(F.count(F.lit(1)).alias("characters"), F.sum("n").alias("n"))
 
 
+def strict_validation(spark, sf):
+    return audit.strict_examples(_documents(spark, sf))
+
+
+def residue_triage(spark, sf):
+    return audit.triage(audit.character_inventory(_documents(spark, sf)))
+
+
+def duplicate_weights(spark, sf):
+    return build.weighted_manifest(_documents(spark, sf))
+
+
+def weighted_corpus(spark, sf):
+    rows = build.weighted_lines(_documents(spark, sf).where(F.col("layer").isin("epic", "poetry", "sastra")))
+    return rows.groupBy("layer").agg(F.count(F.lit(1)).alias("sentences"), F.sum(F.length("sentence")).alias("characters"))
+
+
 def audit_by_file_line(spark, sf):
     return audit.flagged_lines(_documents(spark, sf), ("digit", "western_mark", "combining"))
 
@@ -228,7 +245,7 @@ def bits_per_char_byte(spark, sf):
 
 QUERIES = [
     segment_scan, danda_split, comma_policy, compact_texts, continuous_iast, danda_spacing, spacing_six_way, transliterate_roundtrip, normalize_text, phonological_keys,
-    layer_classification, layer_totals, weighted_manifest, char_inventory, unknown_chars, char_class_audit, audit_by_file_line, single_letter_context, line_context,
+    layer_classification, layer_totals, weighted_manifest, char_inventory, unknown_chars, char_class_audit, strict_validation, residue_triage, duplicate_weights, weighted_corpus, audit_by_file_line, single_letter_context, line_context,
     repeated_line_headers, english_runs, run_spans, adjacent_vowels, exact_duplicates, prefix_duplicates, word_overlap_duplicates, split_assignment, document_ids,
     weighted_sampling, segment_identity, char_tokenize, byte_tokenize, vocab_build, tokenizer_eval, grapheme_split_rate, encoded_blocks, vocabulary_review,
     ngram_counts, ngram_log_prob, ngram_sequence_score, bits_per_char_byte,
@@ -270,6 +287,17 @@ SELECT *, CAST(""" + _WEIGHT.format("path_layer") + " AS DOUBLE) AS weight FROM
     "char_inventory": f"WITH {_CHARS} SELECT c AS char, {audit.CLASS_SQL} AS class, count(*) AS n FROM chars GROUP BY ALL",
     "unknown_chars": f"WITH {_CHARS} SELECT c AS char, count(*) AS n, count(DISTINCT doc_id) AS documents, min(doc_id) AS first_document FROM chars WHERE strpos('{audit.ALPHABET.replace(chr(39), chr(39) * 2)}', c) = 0 GROUP BY c",
     "char_class_audit": f"WITH {_CHARS} SELECT {audit.CLASS_SQL} AS class, count(DISTINCT c) AS characters, count(*) AS n FROM chars GROUP BY 1",
+    "strict_validation": f"""WITH {_LINES}, s AS (SELECT doc_id, line_no, string_split(line, '') AS cs FROM lines WHERE line <> ''), c AS (SELECT doc_id, line_no, i - 1 AS col, cs[i] AS char FROM s, unnest(generate_series(1, len(cs))) AS u(i))
+SELECT doc_id, CAST(line_no AS INTEGER) AS line_no, CAST(col AS INTEGER) AS "column", char FROM c WHERE strpos('{audit.ALPHABET.replace(chr(39), chr(39) * 2)}', char) = 0 ORDER BY doc_id, line_no, col LIMIT 2000""",
+    "residue_triage": f"""WITH {_CHARS}, k AS (SELECT c, {audit.CLASS_SQL} AS class, count(*) AS n FROM chars GROUP BY ALL)
+SELECT CASE WHEN class IN ('devanagari', 'devanagari_danda', 'devanagari_digit') THEN 'script' WHEN class = 'combining' THEN 'mark' WHEN class = 'digit' THEN 'number' WHEN class IN ('space', 'danda', 'western_mark') THEN 'layout'
+  WHEN class IN ('lower_ascii', 'upper_ascii', 'iast') THEN 'letter' ELSE 'noise' END AS category, count(*) AS characters, CAST(sum(n) AS BIGINT) AS n FROM k GROUP BY 1""",
+    "duplicate_weights": f"""WITH c AS (SELECT doc_id, layer, text, CASE WHEN length({_COMPACT}) >= 80 THEN min(doc_id) OVER (PARTITION BY sha1({_COMPACT})) ELSE doc_id END AS first FROM documents),
+w AS (SELECT doc_id, layer, length(text) AS n, coalesce(first < doc_id, false) AS duplicate, CAST(CASE WHEN coalesce(first < doc_id, false) THEN 0 WHEN layer = 'veda' THEN 0.8 WHEN layer IN ('epic', 'poetry', 'sastra') THEN 1.0 ELSE 0.7 END AS DOUBLE) AS w FROM c)
+SELECT doc_id, layer, printf('%.3f', w) AS weight, CAST(n AS INTEGER) AS characters, CASE WHEN n IS NOT NULL THEN printf('%.1f', w * n) END AS weighted_characters, duplicate FROM w""",
+    "weighted_corpus": f"""WITH {_LINES}, t AS (SELECT layer, replace(regexp_replace(line, '(?m)(^|{_SPACE}),+', '\\1', 'g'), ',', '।') AS line FROM lines WHERE layer IN ('epic', 'poetry', 'sastra')),
+s AS (SELECT layer, regexp_replace(unnest(regexp_extract_all(line, '[^।॥]+[।॥]?')), '^{_SPACE}+|{_SPACE}+$', '', 'g') AS x FROM t)
+SELECT layer, count(*) AS sentences, CAST(sum(length(x)) AS BIGINT) AS characters FROM s WHERE x <> '' GROUP BY layer""",
     "audit_by_file_line": f"""WITH {_LINES}, ch AS (SELECT doc_id, line_no, unnest(string_split(line, '')) AS c FROM lines WHERE line <> ''), f AS (SELECT *, {audit.CLASS_SQL} AS class FROM ch)
 SELECT doc_id, CAST(line_no AS INTEGER) AS line_no, class, count(*) AS n, array_to_string(list_sort(list_distinct(list(c))), '') AS chars FROM f WHERE class IN ('digit', 'western_mark', 'combining') GROUP BY ALL""",
     "single_letter_context": f"""WITH {WORDS}, l AS (SELECT surface AS letter, count(*) AS n, count(DISTINCT doc_id) AS documents FROM words WHERE length(surface) = 1 AND regexp_matches(surface, '^\\p{{L}}$') GROUP BY 1)

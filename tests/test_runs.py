@@ -60,3 +60,23 @@ def test_writers_and_readers(spark, tmp_path):
     assert manifest.count() == 6 and manifest.where("script = 'iast' and condition = 'continuous'").first().char_count == 10
     with pytest.raises(ValueError, match="json or"):
         sinks.write_results(docs, f"{tmp_path}/x.txt")
+
+
+def test_build(spark, tmp_path):
+    from lexispan.sources import build
+
+    pages = spark.createDataFrame([("1_veda/a.htm", "<body>x<hr>y<hr>12. agním īḷe || 1 ||<br>rāmaḥ"), ("6_sastra/b.htm", "<p>q")], "relative_path string, html string")
+    listed = spark.createDataFrame([("1_veda/a.htm",), ("2_epic/c.htm",)], "value string")
+    made = build.build_corpus(pages, listed, source="akara")
+    row = made.manifest.first()
+    assert made.manifest.count() == 1 and row.layer == "veda" and row.segment_count == 2 and row.has_accent and row.document_id.startswith("doc_")
+    assert [r[0] for r in made.missing.collect()] == ["2_epic/c.htm"] and made.documents.first().text == "agním īḷe ||\nrāmaḥ"
+    build.write_build(made, f"{tmp_path}/b")
+    again = spark.read.parquet(f"{tmp_path}/b/manifest")
+    assert build.stale(made.manifest, again, "document_id", ["canonical_hash", "split"]).isEmpty()
+    assert build.stale(made.manifest, again.withColumn("split", F.lit("x")), "document_id", ["canonical_hash", "split"]).count() == 1
+    with pytest.raises(ValueError, match="problems"):
+        build.build_corpus(pages, spark.createDataFrame([("/x.htm",)], "value string"), source="akara")
+    docs = spark.createDataFrame([(1, "a" * 90, "epic"), (2, "a" * 90, "veda"), (3, "x, y । z", None)], "doc_id long, text string, layer string")
+    assert [(r.weight, r.duplicate) for r in build.weighted_manifest(docs).orderBy("doc_id").collect()] == [("1.000", False), ("0.000", True), ("0.700", False)]
+    assert build.weighted_lines(docs.where("layer = 'epic'")).count() == 1
