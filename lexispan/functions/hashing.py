@@ -9,10 +9,10 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-# Seeds and shares of the recorded splits.
-SPLIT_SEED = "sktlm_document_split_v1"
+# Defaults; to repeat recorded splits or samples, pass the seed they were made with.
+SPLIT_SEED = "document_split_v1"
 SPLIT_SHARES = (("train", 0.8), ("dev", 0.1), ("test", 0.1))
-SAMPLE_SEED = "sanskrit_llm_weighted_tokenizer_v1"
+SAMPLE_SEED = "weighted_lines_v1"
 
 
 def _digest(size: int):

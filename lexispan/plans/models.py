@@ -10,7 +10,7 @@ from lexispan.functions import script
 from lexispan.operators import cleaning, comparison, lattice, latent, rules
 from lexispan.operators.usage import words_of
 from lexispan.plans.statistics import CELL_A, CELL_B, r6, table
-from lexispan.session import cut
+from lexispan.session import cut, spread
 from lexispan.sources import corpus
 
 
@@ -145,7 +145,7 @@ def vocab_freeze_project(spark, sf):
 
 
 def canonical_cleaning(spark, sf):
-    return cleaning.rule_counts(cleaning.cleaned(table(spark, sf, "documents"), "canonical"))
+    return cleaning.rule_counts(cleaning.cleaned(spread(table(spark, sf, "documents").select("doc_id", "text")), "canonical"))
 
 
 def mechanical_cleaning(spark, sf):

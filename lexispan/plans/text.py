@@ -8,6 +8,7 @@ from lexispan.functions import hashing, normalize, phonology, script, spacing
 from lexispan.operators import audit, duplicates, ngrams, tokenizers
 from lexispan.operators.usage import word_rows
 from lexispan.plans.statistics import CELL_A, CELL_B, WORDS, r6, table
+from lexispan.session import spread
 from lexispan.sources import build, corpus, sinks
 
 ORDER, ALPHA = 3, 0.1
@@ -43,7 +44,7 @@ def danda_spacing(spark, sf):
 
 
 def spacing_six_way(spark, sf):
-    rows = _documents(spark, sf).select("doc_id", "text", F.when(F.col("text").rlike("[ऀ-ॿ]"), "devanagari").otherwise("iast").alias("script"))
+    rows = spread(_documents(spark, sf).select("doc_id", "text")).select("doc_id", "text", F.when(F.col("text").rlike("[ऀ-ॿ]"), "devanagari").otherwise("iast").alias("script"))
     out = sinks.represented(rows)
     return out.select("doc_id", "script", "condition", F.length("represented").alias("char_count"), F.sha2("represented", 256).alias("hash"))
 
@@ -55,7 +56,7 @@ def transliterate_roundtrip(spark, sf):
 
 
 def normalize_text(spark, sf):
-    return _documents(spark, sf).select("doc_id", normalize.normalized(F.col("text")).alias("text"))
+    return spread(_documents(spark, sf).select("doc_id", "text")).select("doc_id", normalize.normalized(F.col("text")).alias("text"))
 
 
 def phonological_keys(spark, sf):

@@ -63,3 +63,9 @@ def drop_cut(df: DataFrame) -> None:
         if folder.getName().startswith("lexispan-"):
             folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
             return
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Rows read from fewer files than there are cores, dealt over all cores, for work that is heavy for each row; larger inputs stay as they are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if len(df.inputFiles()) < cores else df
