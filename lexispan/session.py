@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -69,3 +71,20 @@ def spread(df: DataFrame) -> DataFrame:
     """Rows read from fewer files than there are cores, dealt over all cores, for work that is heavy for each row; larger inputs stay as they are."""
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(cores) if len(df.inputFiles()) < cores else df
+
+
+_SHIPPED: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Sends the package to the Python workers of all executors, once for each application; they need not have it installed."""
+    context = spark.sparkContext
+    if context.applicationId in _SHIPPED:
+        return
+    root = Path(__file__).resolve().parent
+    archive = Path(tempfile.mkdtemp(prefix="lexispan-code-")) / "lexispan_code.zip"  # on the driver only; Spark serves it from there
+    with zipfile.ZipFile(archive, "w") as into:
+        for file in sorted(root.rglob("*.py")):
+            into.write(file, str(file.relative_to(root.parent)))
+    context.addPyFile(str(archive))
+    _SHIPPED.add(context.applicationId)
