@@ -70,6 +70,9 @@ _STOP = np.zeros(0x3001, dtype=bool)
 _STOP[[ord(c) for c in ".?!|।॥…"]] = True
 _BREAK = np.zeros(0x3001, dtype=bool)  # what parts the entries of a list
 _BREAK[[ord(c) for c in "\n\r,;—|।॥"]] = True
+_END = np.zeros(0x3001, dtype=bool)  # of those the ones that end a line or verse, as often several together: `|| 2 ||\r\n`
+_END[[ord(c) for c in "\n\r|।॥"]] = True
+_DIGIT = np.array([chr(c).isdigit() for c in range(0x3001)])
 
 
 @dataclass
@@ -85,6 +88,19 @@ class Words:
     running: np.ndarray  # whether each text is running text
 
 
+def _breaks(low: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """Places of the breaks; of ends with only white space and digits between them the first alone."""
+    at = np.flatnonzero(_BREAK[low])
+    if not len(at):
+        return at
+    end = _END[low]
+    other = np.cumsum(~(end | _SPACE[low] | _DIGIT[low]))
+    owner = np.searchsorted(starts, at, side="right")
+    ends = end[at]
+    again = np.append(False, ends[1:] & ends[:-1] & (owner[1:] == owner[:-1]) & (other[at[1:]] == other[at[:-1]]))
+    return at[~again]
+
+
 def words_of(texts: list[str | None]) -> Words:
     """Words are stretches between white space with a letter in them."""
     points, starts = code_points(texts)
@@ -112,7 +128,7 @@ def words_of(texts: list[str | None]) -> Words:
     stops = np.bincount(point_owner(runs), minlength=n)
     lines = np.bincount(point_owner(np.flatnonzero(points == 10)), minlength=n)
     sentences = np.where(stops > 0, stops, np.where(lines > 0, lines + 1, 0))
-    breaks = np.bincount(point_owner(np.flatnonzero(_BREAK[low])), minlength=n)
+    breaks = np.bincount(point_owner(_breaks(low, starts)), minlength=n)
     english = np.isin(code, _ENGLISH_CODES)
     german = np.isin(code, _GERMAN_CODES)
     en, de = np.bincount(owner[english], minlength=n), np.bincount(owner[german], minlength=n)
@@ -364,7 +380,8 @@ def reading_levels(documents: DataFrame, labels: DataFrame, *, sample: int = 20_
     """(doc_id, level) of every document (doc_id, text) with running text in Sanskrit or English of at least 50 words.
 
     Running text has more than three words for each two line ends, commas,
-    semicolons, dashes and dandas; the language is told from function words, not from
+    semicolons, dashes and dandas, where dandas, bars, verse numbers and line ends
+    that follow each other count once; the language is told from function words, not from
     a column.  German is not graded.  Defined cases: null, empty and short texts
     aren't listed; a word without a grade takes that of its length; without usable
     labels no document is listed; rows with a null doc_id are left out.

@@ -244,6 +244,20 @@ def test_words_and_languages():
     assert words.code[words.owner == 3][0] == reading.word_hash("ramah")
 
 
+def test_short_verse_lines_are_running_text():
+    lines = ["kekāt genini |", "gulholnulanti ghanaḥ || 2 ||", "रामः गच्छति ॥ २ ॥"]
+    verse = ["\r\n".join(lines[i % 3] for i in range(30)), "\n".join("turāḥ ca ||" for _ in range(30)), " ".join("na jumī | |" for _ in range(30))]
+    lists = ["\r\n".join(f"phala || {i} ||" for i in range(60)), ",\n".join("phala giri" for _ in range(60)), "phala, giri; " * 30]
+    assert reading.words_of(verse + lists).running.tolist() == [True] * 3 + [False] * 3
+
+
+def test_no_labelled_text_of_fifty_words_is_left_out(spark):
+    d, g = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
+    words = reading.words_of([r.text for r in d.join(reading.consensus(g), "doc_id").select("text").collect()])
+    long = (words.count >= 50) & (words.lang >= 0)
+    assert long.sum() > 600 and words.running[long].all()
+
+
 def test_levels(spark):
     rng = random.Random(8)
     tiers = [["cat", "dog", "sun", "milk"], ["market", "teacher", "village", "garden"], ["grammar", "colophon", "recension", "tradition"], ["epistemology", "phenomenological", "hermeneutics", "ontological"]]
