@@ -10,6 +10,8 @@ in whatever order.  A document is listed with an item if its longest tile has
 
 A seed is looked up at every place of an item but only at each (passage - seed + 1)th
 place of a document: a shared run of `passage` letters always holds one of those.
+With `coverage` tiles of `seed` letters count too, so there every place of a document
+is looked up.
 The item side is broadcast while it is within `broadcast_windows`, else both sides
 meet by a shuffle on the seed's hash.
 """
@@ -47,6 +49,27 @@ def _hash_at(letters: np.ndarray, places: np.ndarray, width: int) -> np.ndarray:
     return value ^ (value >> np.uint64(32))
 
 
+def _hash_all(letters: np.ndarray, width: int) -> np.ndarray:
+    """run_hashes by doubling, for long arrays."""
+    n = len(letters) - width + 1
+    if n <= 0:
+        return np.zeros(0, dtype=np.uint64)
+    part, size, power = letters.astype(np.uint64), 1, _BASE
+    value, done = np.zeros(len(letters), dtype=np.uint64), 0  # hash of the first `done` letters from each place
+    bits = width
+    with np.errstate(over="ignore"):
+        while bits:
+            if bits & 1:
+                value = value[: len(part) - done] * power + part[done : done + len(value)] if done else part
+                done += size
+            bits >>= 1
+            if bits:
+                part = part[:-size] * power + part[size:]
+                size, power = 2 * size, power * power
+        value = value[:n] * _MIX
+    return value ^ (value >> np.uint64(32))
+
+
 def seeds_of(letters: np.ndarray, starts: np.ndarray, width: int, step: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Text, place and hash of the runs at each `step`th place of each text."""
     sizes = np.diff(starts)
@@ -55,9 +78,20 @@ def seeds_of(letters: np.ndarray, starts: np.ndarray, width: int, step: int) ->
     owner = np.repeat(np.arange(len(sizes)), counts)
     first = np.repeat(np.append(0, np.cumsum(counts))[:-1], counts)
     place = (np.arange(len(owner)) - first) * step
+    if step == 1:
+        return owner, place, _hash_all(letters, width)[starts[owner] + place]
     return owner, place, _hash_at(letters.astype(np.uint64), starts[owner] + place, width)
 
 
+def _chunks(starts: np.ndarray, letters: int = 1 << 20) -> Iterator[tuple[int, int]]:
+    """Ranges of texts of about so many letters, so that a batch's hashes aren't all held at once."""
+    low = 0
+    while low < len(starts) - 1:
+        high = max(low + 1, int(np.searchsorted(starts, starts[low] + letters, "right")) - 1)
+        yield low, high
+        low = high
+
+
 def tile(document: np.ndarray, item: np.ndarray, least: int) -> list[tuple[int, int, int]]:
     """Greedy string tiling of two letter arrays: tiles (document place, item place, letters), longest first.
 
@@ -134,7 +168,7 @@ def leaks(
     docs = documents.select("doc_id", "text").where(F.col("doc_id").isNotNull() & F.col("text").isNotNull())
     tests = items.select("item_id", "text").where(F.col("item_id").isNotNull() & F.col("text").isNotNull())
     windows = tests.agg(F.coalesce(F.sum(F.length("text") * 2), F.lit(0))).first()[0]  # no letter string is longer than twice its text
-    step = passage - seed + 1
+    step = passage - seed + 1 if coverage is None else 1
     wanted = (F.col("longest") >= passage) | (F.lit(False) if coverage is None else (F.col("matched") >= F.col("item_letters") * coverage))
     if windows <= broadcast_windows:
         found = _against_broadcast(docs, tests, kinds, seed, step)
@@ -148,21 +182,30 @@ def _against_broadcast(docs: DataFrame, tests: DataFrame, kinds: T.StructType, s
     letters, starts = letters_batch([r["text"] for r in rows])
     owner, _, code = seeds_of(letters, starts, seed, 1)
     order = np.lexsort((owner, code))
-    shared = docs.sparkSession.sparkContext.broadcast(([r["item_id"] for r in rows], letters, starts, code[order], owner[order]))
+    seen = np.zeros(1 << 22, dtype=bool)  # by the upper bits of a hash; most seeds of a document end here
+    seen[(code >> np.uint64(42)).astype(np.int64)] = True
+    shared = docs.sparkSession.sparkContext.broadcast(([r["item_id"] for r in rows], letters, starts, code[order], owner[order], np.packbits(seen)))
     item_type = kinds["item_id"].dataType
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, item_letters, item_starts, codes, owners = shared.value
+        ids, item_letters, item_starts, codes, owners, bits = shared.value
+        seen = np.unpackbits(bits).view(bool)
         arrow_item = pa.int64() if isinstance(item_type, T.LongType) else None
         for batch in batches:
             found, at = letters_batch(batch.column(1).to_pylist())
-            whose, _, code = seeds_of(found, at, seed, step)
-            low = np.searchsorted(codes, code, "left")
-            known = np.flatnonzero(codes[np.minimum(low, len(codes) - 1)] == code) if len(codes) else np.zeros(0, dtype=np.int64)
-            times = np.searchsorted(codes, code[known], "right") - low[known]
-            texts = np.repeat(whose[known], times)
-            places = np.repeat(low[known], times) + np.arange(len(texts)) - np.repeat(np.append(0, np.cumsum(times))[:-1], times)
-            pairs = np.unique(np.stack([texts, owners[places]], axis=1), axis=0) if len(texts) else np.zeros((0, 2), dtype=np.int64)
+            parts = [np.zeros((0, 2), dtype=np.int64)]
+            for a, b in _chunks(at):
+                whose, _, code = seeds_of(found[at[a] : at[b]], at[a : b + 1] - at[a], seed, step)
+                likely = np.flatnonzero(seen[(code >> np.uint64(42)).astype(np.int64)])
+                whose, code = whose[likely] + a, code[likely]
+                low = np.searchsorted(codes, code, "left")
+                known = np.flatnonzero(codes[np.minimum(low, len(codes) - 1)] == code) if len(codes) else np.zeros(0, dtype=np.int64)
+                times = np.searchsorted(codes, code[known], "right") - low[known]
+                texts = np.repeat(whose[known], times)
+                places = np.repeat(low[known], times) + np.arange(len(texts)) - np.repeat(np.append(0, np.cumsum(times))[:-1], times)
+                if len(texts):
+                    parts.append(np.unique(np.stack([texts, owners[places]], axis=1), axis=0))
+            pairs = np.concatenate(parts)
             measured = []
             for d, i in pairs.tolist():
                 item = item_letters[item_starts[i] : item_starts[i + 1]]
@@ -184,8 +227,9 @@ def _by_shuffle(docs: DataFrame, tests: DataFrame, kinds: T.StructType, seed: in
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 found, at = letters_batch(batch.column(1).to_pylist())
-                owner, _, code = seeds_of(found, at, seed, every)
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(owner)), pa.array(code.view(np.int64))], names=[key, "code"])
+                for a, b in _chunks(at):
+                    owner, _, code = seeds_of(found[at[a] : at[b]], at[a : b + 1] - at[a], seed, every)
+                    yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(owner + a)), pa.array(code.view(np.int64))], names=[key, "code"])
 
         return df.mapInArrow(run, T.StructType([T.StructField(key, df.schema[key].dataType), T.StructField("code", T.LongType())])).distinct()
 

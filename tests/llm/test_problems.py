@@ -235,6 +235,29 @@ def test_leaks(spark):
     assert report[5] == 0 and report[1] == 2
 
 
+def test_leaks_by_coverage_at_every_place(spark):
+    rng = random.Random(11)
+    word = lambda n: "".join(rng.choice("kgtdnpbmrlvs") + rng.choice("aiueo") for _ in range(n // 2))
+    items = [(i, word(n)) for i, n in enumerate((20, 30, 38, 60, 100, 160))]
+    docs = []
+    for i, t in items[:3]:
+        docs += [(100 * i + k, i, "z" * k + t + word(40)) for k in range(21)]
+    for i, t in items[3:]:
+        size = {60: 30, 100: 25, 160: 20}[len(t)]
+        pieces = [t[k : k + size] for k in range(0, len(t), size)]
+        docs += [(100 * i + k, i, "z" * k + "zz".join(reversed(pieces)) + word(40)) for k in range(21)]
+    frames = spark.createDataFrame([(d, t) for d, _, t in docs], "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    for limit in (4_000_000, 0):
+        got = {(r.doc_id, r.item_id) for r in leakage.leaks(*frames, coverage=0.8, broadcast_windows=limit).collect()}
+        assert got == {(d, i) for d, i, _ in docs}
+
+
+def test_hashes_by_doubling():
+    letters_ = np.array([random.Random(2).randrange(97, 123) for _ in range(80)], dtype=np.int32)
+    for width in range(1, 42):
+        assert (leakage._hash_all(letters_, width) == leakage.run_hashes(letters_, width)).all()
+
+
 def test_words_and_languages():
     many = ["the king sees a river and every child " * 8, "der König und die Frau sehen das Haus " * 8, "rāmo gacchati vanaṃ | " * 30, "रामः गच्छति वनम् । " * 30, "phala — vana — giri — " * 30, None, "", "the king"]
     words = reading.words_of(many)
