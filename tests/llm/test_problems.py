@@ -71,6 +71,37 @@ def test_overlaps_of_nothing_and_of_copies(spark):
     assert [(r.split, r.source, r.segments, r.links) for r in overlap.overlap_report(found, manifest).collect()] == [("dev", "src", 4, 20)]
 
 
+def test_short_lines_with_edits_all_over_are_found(spark):
+    rng = random.Random(6)
+    base = ["".join(rng.choice("kgtdnpbmrlvs") + rng.choice("aiueo") for _ in range(30))[: rng.randrange(30, 53)] for _ in range(200)]
+    rows, want = [], set()
+    for i, x in enumerate(base):
+        k = 15 * len(x) // 100
+        y = list(x)
+        for j in range(k):  # evenly spread, so that hardly a window of 8 letters is left whole
+            at = (2 * j + 1) * len(x) // (2 * k)
+            y[at] = rng.choice(["", "z", y[at] + "z" if len(x) <= 50 else "z"])
+        y = "".join(y)
+        rows += [(f"a:l{i}", "train", x), (f"b:l{i}", "dev", y)]
+        if len(y) >= 30 and distance(x, y) * 100 <= 15 * max(len(x), len(y)):
+            want.add((f"a:l{i}", f"b:l{i}"))
+    found = overlap.split_overlaps(segments(spark, rows))
+    assert {(r.train_id, r.held_id) for r in found.collect()} >= want and len(want) > 150
+
+
+def test_pieces_meet_in_every_short_pair():
+    rng = random.Random(12)
+    n = 0
+    for _ in range(3000):
+        x = "".join(rng.choice("abcd") for _ in range(rng.randrange(30, 61)))
+        y = mutated(rng, x, rng.randrange(0, 12))
+        if 30 <= len(y) <= 60 and distance(x, y) * 100 <= 15 * max(len(x), len(y)):
+            a, b = (set(overlap.short_codes([t], 15, 30, 60, held)[2].tolist()) for t, held in ((x, False), (y, True)))
+            assert a & b
+            n += 1
+    assert n > 1000
+
+
 def test_radius_is_safe():
     rng = random.Random(5)
     for text in lines(rng, 80):
