@@ -19,6 +19,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -166,6 +167,7 @@ def consensus(labels: DataFrame) -> DataFrame:
 
 
 _UNIT = "kind int, lang int, code long, fold int, level int, n double"
+_RARE = "array<struct<code: bigint, counts: array<float>>>"
 _WORD, _LENGTH, _SENTENCE, _TEXT = 0, 1, 2, 3
 
 
@@ -248,15 +250,24 @@ class Grader:
         sent /= sent.sum(-1, keepdims=True)
         return (np.stack([both, rate @ LEVELS], axis=1), lengths @ LEVELS, sent @ LEVELS)
 
-    def features(self, words: Words, tables: tuple[np.ndarray, np.ndarray, np.ndarray]) -> np.ndarray:
-        """(texts, quantiles + 4): quantiles and mean of the grades of each text's words, the grade of its sentences and their length."""
+    def with_words(self, codes: np.ndarray, counts: np.ndarray) -> Grader:
+        """The grader of other words, with the same priors."""
+        return Grader(codes, counts, self.lengths, self.sentences, self.texts, self.strength)
+
+    def features(self, words: Words, tables: tuple[np.ndarray, np.ndarray, np.ndarray], more: tuple[np.ndarray, np.ndarray] | None = None) -> np.ndarray:
+        """(texts, quantiles + 4): quantiles and mean of the grades of each text's words, the grade of its sentences and their length.
+
+        `more` has codes and grades of further words.
+        """
         known, lengths, sentences = tables
         lang = np.maximum(words.lang, 0)
         code = _kept_codes(words)
-        at = np.minimum(np.searchsorted(self.codes, code), max(0, len(self.codes) - 1))
-        hit = self.codes[at] == code if len(self.codes) else np.zeros(len(code), dtype=bool)
-        mass = np.where(hit, known[at, 0], 0.0) if len(self.codes) else np.zeros(len(code))
-        sums = np.where(hit, known[at, 1], 0.0) if len(self.codes) else np.zeros(len(code))
+        mass, sums = np.zeros(len(code)), np.zeros(len(code))
+        for codes, grades in ((self.codes, known), *([more] if more else [])):
+            if len(codes):
+                at = np.minimum(np.searchsorted(codes, code), len(codes) - 1)
+                hit = codes[at] == code
+                mass[hit], sums[hit] = grades[at[hit], 0], grades[at[hit], 1]
         prior = lengths[lang[words.owner], np.minimum(words.size, LONGEST)]
         grade = (sums + self.strength * prior) / (mass + self.strength)
         n = len(words.count)
@@ -332,7 +343,7 @@ def known_units(units: DataFrame, *, min_uses: float = 2.0) -> DataFrame:
 
 
 def grader_of(units: DataFrame) -> Grader:
-    """The grader on the driver; for as many known words as `reading_levels` allows."""
+    """The grader on the driver; for as many known words as `reading_levels` broadcasts."""
     table = units.toArrow().combine_chunks()
     kind, lang, code = (np.asarray(table.column(k)) for k in ("kind", "lang", "code"))
     flat = np.asarray(table.column("counts").combine_chunks().flatten()) if table.num_rows else np.zeros(0)
@@ -349,7 +360,45 @@ def grader_of(units: DataFrame) -> Grader:
     return Grader(codes[order], counts[word][order], lengths, sentences, texts)
 
 
-def calibrate(graded: DataFrame, grader: Grader, *, sample: int = 20_000) -> Calibration:
+_UNLISTED = "doc_id long, code long"
+
+
+def _with_rare(documents: DataFrame, rare: DataFrame | None, shared: Broadcast) -> DataFrame:
+    """Adds `rare`, the (code, counts) of those of each document's words that are in `rare` and not in the broadcast grader; null without such.
+
+    Frequent words are in the broadcast, so no code of the join is shared by very many documents of the graded kind.
+    """
+    if rare is None:
+        return documents.withColumn("rare", F.lit(None).cast(_RARE))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = shared.value.codes
+        for batch in batches:
+            words = words_of(batch.column(1).to_pylist())
+            mine = (words.running & (words.lang >= 0))[words.owner]
+            code, owner = _kept_codes(words)[mine], words.owner[mine]
+            if len(known):
+                new = known[np.minimum(np.searchsorted(known, code), len(known) - 1)] != code
+                code, owner = code[new], owner[new]
+            pairs = pa.table([batch.column(0).take(pa.array(owner)), pa.array(code.view(np.int64))], names=["doc_id", "code"])
+            yield from pairs.group_by(["doc_id", "code"]).aggregate([]).to_batches()
+
+    asked = documents.select("doc_id", "text").mapInArrow(run, _UNLISTED).distinct()
+    met = asked.join(rare, "code").groupBy("doc_id").agg(F.collect_list(F.struct("code", "counts")).cast(_RARE).alias("rare"))
+    return documents.join(met, "doc_id", "left")
+
+
+def _further(column: pa.Array, own: Grader) -> Grader | None:
+    """The grader of the further words of a batch."""
+    rows = column.flatten()  # without those of null lists
+    if not len(rows):
+        return None
+    codes, first = np.unique(np.asarray(rows.field("code")).view(np.uint64), return_index=True)
+    counts = np.asarray(rows.field("counts").flatten()).reshape(-1, FOLDS, 4)
+    return own.with_words(codes, counts[first])
+
+
+def calibrate(graded: DataFrame, grader: Grader, rare: DataFrame | None = None, *, sample: int = 20_000) -> Calibration:
     """Fits the calibration on graded documents, each by grades from the other folds.  Of more than `sample` those with the lowest hash of their id are taken."""
     shared = graded.sparkSession.sparkContext.broadcast(grader)
     width = len(QUANTILES) + 4
@@ -360,7 +409,9 @@ def calibrate(graded: DataFrame, grader: Grader, *, sample: int = 20_000) -> Cal
         for batch in batches:
             words = words_of(batch.column(1).to_pylist())
             fold = _fold(np.asarray(batch.column(0)))
-            every = np.stack([own.features(words, t) for t in tables])
+            further = _further(batch.column(4), own)
+            more = [further and (further.codes, further.grades(without=f)[0]) for f in range(FOLDS)]
+            every = np.stack([own.features(words, t, m) for t, m in zip(tables, more, strict=True)])
             x = every[fold, np.arange(len(fold))]
             use = np.flatnonzero(words.running & (words.lang >= 0))
             at = pa.array(use)
@@ -370,7 +421,9 @@ def calibrate(graded: DataFrame, grader: Grader, *, sample: int = 20_000) -> Cal
             )
 
     few = graded.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
-    table = few.select("doc_id", "text", "low", "high").mapInArrow(run, "lang int, low int, high int, features array<double>").toArrow()
+    if rare is not None:
+        few = cut(few)
+    table = _with_rare(few, rare, shared).select("doc_id", "text", "low", "high", "rare").mapInArrow(run, "lang int, low int, high int, features array<double>").toArrow()
     x = np.asarray(table.column("features").combine_chunks().flatten()).reshape(-1, width) if table.num_rows else np.zeros((0, width))
     lang, low, high = (np.asarray(table.column(k)) for k in ("lang", "low", "high"))
     return Calibration.fit(x, lang, (np.eye(4)[low - 1] + np.eye(4)[high - 1]) / 2 if len(low) else np.zeros((0, 4)))
@@ -386,33 +439,39 @@ def reading_levels(documents: DataFrame, labels: DataFrame, *, sample: int = 20_
     aren't listed; a word without a grade takes that of its length; without usable
     labels no document is listed; rows with a null doc_id are left out.
 
-    Only known words go to the workers.  Should they be more than `max_words`, the
-    number of uses that makes a word known is doubled until they aren't; the words
-    below it are graded by their length, like unknown ones.
+    Of the known words at most `max_words`, the most used ones, are broadcast.  The
+    others are joined to the documents that hold them by a shuffle, so every known
+    word keeps its grade at every size.
     """
     docs = documents.select("doc_id", "text").where(F.col("doc_id").isNotNull())
     graded = cut(docs.where(F.col("text").isNotNull()).join(consensus(labels), "doc_id"))
     units = cut(graded_units(graded))
     known, least = cut(known_units(units)), 2.0
-    while known.count() > max_words:
-        least *= 2
-        known = cut(known_units(units, min_uses=least))
+    is_word, uses = F.col("kind") == _WORD, F.aggregate("counts", F.lit(0.0), lambda a, b: a + b.cast("double"))
+    rare = None
+    if known.where(is_word).count() > max_words:
+        while known.where(is_word & (uses >= least)).count() > max_words:
+            least *= 2
+        rare = known.where(is_word & (uses < least)).select("code", "counts")
+        known = known.where(~is_word | (uses >= least))
     grader = grader_of(known)
     if not grader.texts.any():
         return docs.limit(0).select("doc_id", F.lit(1).alias("level"))
-    calibration = calibrate(graded, grader, sample=sample)
-    shared = docs.sparkSession.sparkContext.broadcast((grader.codes, grader.grades(), calibration))
+    calibration = calibrate(graded, grader, rare, sample=sample)
+    light = grader.with_words(grader.codes, np.zeros((0, FOLDS, 4), dtype=np.float32))  # the counts stay here
+    context = docs.sparkSession.sparkContext
+    shared, listed = context.broadcast((light, grader.grades(), calibration)), context.broadcast(light) if rare is not None else None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codes, tables, model = shared.value
-        own = Grader(codes, np.zeros((0, FOLDS, 4)), np.zeros(0), np.zeros(0), np.zeros(0))
+        own, tables, model = shared.value
         for batch in batches:
             words = words_of(batch.column(1).to_pylist())
             use = np.flatnonzero(words.running & (words.lang >= 0))
-            levels = model.levels(own.features(words, tables), words.lang)
+            further = _further(batch.column(2), own)
+            levels = model.levels(own.features(words, tables, further and (further.codes, further.grades()[0])), words.lang)
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(use)), pa.array(levels[use])], names=["doc_id", "level"])
 
-    return docs.mapInArrow(run, "doc_id long, level int")
+    return _with_rare(docs, rare, listed).select("doc_id", "text", "rare").mapInArrow(run, "doc_id long, level int")
 
 
 def level_profile(levels: DataFrame, documents: DataFrame) -> DataFrame:

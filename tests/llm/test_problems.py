@@ -331,6 +331,12 @@ def test_levels(spark):
     assert reading.reading_levels(d, g.where("false")).count() == 0 and reading.reading_levels(d.where("false"), g).count() == 0
 
 
+def test_levels_do_not_depend_on_the_broadcast_bound(spark):
+    d, g = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
+    want, got, none = ({r.doc_id: r.level for r in reading.reading_levels(d, g, max_words=n).collect()} for n in (1_000_000, 400, 300))
+    assert got == want and none == want and len(want) > 500
+
+
 def test_reading_accuracy_on_held_out_labels(spark, sf):
     d, g = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
     inside = F.pmod(F.xxhash64("doc_id"), F.lit(4)) > 0
