@@ -111,6 +111,12 @@ def weighted_corpus(spark, sf):
     return rows.groupBy("layer").agg(F.count(F.lit(1)).alias("sentences"), F.sum(F.length("sentence")).alias("characters"))
 
 
+def weighted_corpus_layers(spark, sf):
+    """weighted_corpus over all layers, where lines of a weight below 1 are sampled; it has no SQL."""
+    rows = build.weighted_lines(_documents(spark, sf))
+    return rows.groupBy("layer").agg(F.count(F.lit(1)).alias("sentences"), F.sum(F.length("sentence")).alias("characters"))
+
+
 def audit_by_file_line(spark, sf):
     return audit.flagged_lines(_documents(spark, sf), ("digit", "western_mark", "combining"))
 
@@ -246,7 +252,7 @@ def bits_per_char_byte(spark, sf):
 
 QUERIES = [
     segment_scan, danda_split, comma_policy, compact_texts, continuous_iast, danda_spacing, spacing_six_way, transliterate_roundtrip, normalize_text, phonological_keys,
-    layer_classification, layer_totals, weighted_manifest, char_inventory, unknown_chars, char_class_audit, strict_validation, residue_triage, duplicate_weights, weighted_corpus, audit_by_file_line, single_letter_context, line_context,
+    layer_classification, layer_totals, weighted_manifest, char_inventory, unknown_chars, char_class_audit, strict_validation, residue_triage, duplicate_weights, weighted_corpus, weighted_corpus_layers, audit_by_file_line, single_letter_context, line_context,
     repeated_line_headers, english_runs, run_spans, adjacent_vowels, exact_duplicates, prefix_duplicates, word_overlap_duplicates, split_assignment, document_ids,
     weighted_sampling, segment_identity, char_tokenize, byte_tokenize, vocab_build, tokenizer_eval, grapheme_split_rate, encoded_blocks, vocabulary_review,
     ngram_counts, ngram_log_prob, ngram_sequence_score, bits_per_char_byte,

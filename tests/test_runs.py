@@ -80,3 +80,24 @@ def test_build(spark, tmp_path):
     docs = spark.createDataFrame([(1, "a" * 90, "epic"), (2, "a" * 90, "veda"), (3, "x, y । z", None)], "doc_id long, text string, layer string")
     assert [(r.weight, r.duplicate) for r in build.weighted_manifest(docs).orderBy("doc_id").collect()] == [("1.000", False), ("0.000", True), ("0.700", False)]
     assert build.weighted_lines(docs.where("layer = 'epic'")).count() == 1
+
+
+def test_weighted_corpus_layers_has_every_layer(spark, tmp_path):
+    from lexispan.functions.hashing import included
+    from lexispan.plans import catalogue
+
+    layers = ["epic", "poetry", "sastra", "veda", "purana", "rellit", None]
+    docs = spark.createDataFrame([(i, "\n".join(f"x{k} y" for k in range(200)), x, "s") for i, x in enumerate(layers)], "doc_id long, text string, layer string, source string")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.layer: r.sentences for r in catalogue.queries()["weighted_corpus_layers"](spark, str(tmp_path)).collect()}
+    assert set(got) == set(layers) and got["epic"] == got["poetry"] == got["sastra"] == 200
+    numbers = build_lines(docs)
+    for i, (layer, weight) in enumerate(zip(layers[3:], (0.8, 0.7, 0.7, 0.7), strict=True), 3):
+        kept = numbers.where(F.col("doc_id") == i).where(included(F.col("doc_id").cast("string"), F.col("line_no"), F.lit(weight))).count()
+        assert got[layer] == kept and abs(kept / 200 - weight) < 0.12
+
+
+def build_lines(docs):
+    from lexispan.sources import corpus
+
+    return corpus.lines_of(docs, key="doc_id", text="text", keep=("layer",))
