@@ -102,6 +102,53 @@ def test_pieces_meet_in_every_short_pair():
     assert n > 1000
 
 
+@pytest.mark.parametrize("percent", [100, 125, 150])
+def test_evenly_spread_edits_are_found(percent):
+    """Blocks of pairs that differ by one edit every few letters, or by as many at random places."""
+    rng = random.Random(percent)
+    base = ["".join(rng.choice("kgtdnpbmrlvs") + rng.choice("aiueo") for _ in range(80))[: rng.randrange(61, 150)] for _ in range(400)]
+    for kind in ("even", "random"):
+        other = []
+        for x in base:
+            k = percent * len(x) // 1000
+            phase, y = rng.random(), list(x)
+            places = [min(len(x) - 1, int((i + phase) * len(x) / k)) for i in range(k)] if kind == "even" else rng.sample(range(len(x)), k)
+            for at in places:
+                y[at] = rng.choice(["z", "", y[at] + "z"]) if kind == "random" or rng.random() < 0.3 else "z"
+            other.append("".join(y))
+        shared = np.zeros(len(base), dtype=bool)
+        for make in (lambda t, held: overlap.window_blocks(t, 8, 5), lambda t, held: overlap.gapped_blocks(t, 5, 22 if held else 18)):
+            sides = [{}, {}]
+            for held, texts in ((False, base), (True, other)):
+                owner, _, code = make(texts, held)
+                for i, c in zip(owner.tolist(), code.tolist(), strict=True):
+                    sides[held].setdefault(i, set()).add(c)
+            shared |= [bool(sides[0].get(i, set()) & sides[1].get(i, set())) for i in range(len(base))]
+        assert shared.mean() >= 0.99
+
+
+def test_a_stock_phrase_does_not_multiply_pairs():
+    rng = random.Random(8)
+    syllable = lambda n: "".join(rng.choice("kgtdnpbmrlvs") + rng.choice("aiueo") for _ in range(n // 2))
+    phrase = syllable(40)
+    texts = [x[:cut] + phrase + x[cut:] for x in (syllable(60) for _ in range(5000)) for cut in (rng.randrange(60),)]
+    held = [i % 5 == 0 for i in range(len(texts))]
+    sizes = np.array([len(t) for t in texts])
+    ids, whole = np.arange(len(texts)) * 4 + 1, overlap.count_codes(texts)
+
+    def side(blocks):
+        return overlap._Side([overlap._pack(*blocks[:2], blocks[2] & np.uint64(0xFFFFFFFF), ids, whole, sizes)])
+
+    of = lambda blocks, want: tuple(x[np.array(held)[blocks[0]] == want] for x in blocks)
+    blocks, plain, refined = overlap.window_blocks(texts, 8, 5), [], []
+    _, over = overlap._meet(side(of(blocks, False)), side(of(blocks, True)), 15, 100_000, plain)
+    assert len(over) >= 5  # every window of the phrase that is chosen
+    hot = np.unique(blocks[2][np.isin((blocks[2] & np.uint64(0xFFFFFFFF)).astype(np.uint32), over)])
+    made = [overlap.phrase_blocks(texts, 8, 5, hot, 15, h) for h in (False, True)]
+    overlap._meet(side(of(made[0], False)), side(of(made[1], True)), 15, 0, refined)
+    assert plain[0] + refined[0] < 4000 * 1000 / 2  # of all pairs; the phrase's windows alone would make over ten times as many
+
+
 def test_radius_is_safe():
     rng = random.Random(5)
     for text in lines(rng, 80):
