@@ -157,6 +157,8 @@ def test_radius_is_safe():
             y = letters(mutated(rng, x, k))
             a, b = overlap.count_codes([x, y])
             assert sum(int(u ^ v).bit_count() for u, v in zip(a.tolist(), b.tolist(), strict=True)) <= 2 * distance(x, y)
+            percent = -(-100 * distance(x, y) // max(len(x), len(y)))
+            assert overlap.near_in_pairs([x], [y], percent).all()
 
 
 @pytest.mark.parametrize("partitions", [1, 7])
@@ -193,6 +195,26 @@ def test_frequencies(spark):
     assert {r.term: (r.records, r.occurrences) for r in twice.collect()}["b"] == (13_334, 2 * 26_668)
 
 
+def test_bitmaps_are_compressed():
+    rng = np.random.default_rng(4)
+    for n in (0, 1, 2, 300, 4096, 4097, 30_000, 65_536):
+        places = np.sort(rng.choice(frequency.BLOCK, n, replace=False))
+        for some in (places, np.arange(n)):
+            bitmap = frequency.compressed(some)
+            assert frequency.places_of(bitmap).tolist() == some.tolist() and frequency.cardinality(bitmap) == n
+            assert len(bitmap) <= 8193 and frequency.union([bitmap, frequency.compressed(places)]) == frequency.compressed(np.union1d(some, places))
+    assert len(frequency.compressed(np.array([7]))) == 3  # bytes of a term in one record
+    assert len(frequency.compressed(np.arange(frequency.BLOCK))) == 5  # and of one in all
+
+
+def test_entries_that_name_nobody(spark):
+    nobody = ["author not known", "Unknown poet", "s.n.", "unattributed", "ajñātakavi", "Verfasser unbekannt", "Anonymous", "अज्ञात", "N.N.", "n.a.", "[unknown]", "AuthorUnknown", "anon."]
+    known = ["Anna", "Kālidāsa", "Nala", "Na-rada", "Noname Kavi Rama", "Author Rama", "kavi", "Various Hands of Rama"]
+    rows = [(f"d{i}", "author", name) for i, name in enumerate(nobody + known)] + [("w", "work", "Nil")]
+    got = {r.document_id for r in splits.document_ties(spark.createDataFrame(rows, "document_id string, kind string, name string")).collect()}
+    assert got == {f"d{len(nobody) + i}" for i in range(len(known))} | {"w"}
+
+
 def test_reports(spark):
     rows = [("./x\\y", " Ā ", 3, "2025"), ("x/y", unicodedata.normalize("NFD", "ā") + "​", 7, "2026"), ("x/y", "a", None, "2027"), ("x/y", "​", 1, "2025")]
     df = spark.createDataFrame(rows, "file string, token string, count long, audited_at string")
