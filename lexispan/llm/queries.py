@@ -43,6 +43,10 @@ def p4_found(spark: SparkSession, sf: str) -> DataFrame:
     return splits.torn_groups(_table(spark, sf, "canonical_manifest"), _table(spark, sf, "text_credits"))
 
 
+def p4_groups(spark: SparkSession, sf: str) -> DataFrame:
+    return splits.all_groups(_table(spark, sf, "canonical_manifest"), _table(spark, sf, "text_credits"))
+
+
 def p4_splits(spark: SparkSession, sf: str) -> DataFrame:
     return splits.grouped_splits(_table(spark, sf, "canonical_manifest"), _table(spark, sf, "text_credits"))
 
@@ -78,7 +82,7 @@ def p7_profile(spark: SparkSession, sf: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = (
-        p1_found, p1_report, p2_found, p3_found, p3_terms, p4_found, p4_splits, p4_segment_splits,
+        p1_found, p1_report, p2_found, p3_found, p3_terms, p4_found, p4_groups, p4_splits, p4_segment_splits,
         p5_windows, p5_fill, p6_found, p6_report, p7_found, p7_profile,
     )
     return {q.__name__: q for q in found}
@@ -102,6 +106,12 @@ def letters_sql(column: str) -> str:
     return f"regexp_replace(lower(strip_accents({x})), '[^\\p{{L}}]', '', 'g')"
 
 
+def words_sql(column: str) -> str:
+    """SQL for the letters of the words of a text, with a space between words."""
+    spaced = letters_sql(f"regexp_replace({column}, '[^\\p{{L}}\\p{{N}}\\p{{M}}\\p{{Cf}}]+', 'Ω', 'g')")
+    return f"trim(regexp_replace({spaced}, 'ω+', ' ', 'g'))"
+
+
 _VALID_SEGMENTS = f"""
 valid AS (
   SELECT segment_id, nullif(lower(regexp_replace(split, '^\\s+|\\s+$', '', 'g')), '') AS split, text
@@ -131,8 +141,19 @@ marked AS (
 """
 
 
+_GROUPS = f"""named AS (
+  SELECT document_id, lower(trim(kind)) AS kind, {letters_sql("name")} AS letters, {words_sql("name")} AS words FROM text_credits
+  WHERE document_id IS NOT NULL AND name IS NOT NULL AND lower(trim(kind)) IN ('author', 'work')),
+ties AS (SELECT DISTINCT document_id, kind || ':' || letters AS credit FROM named WHERE letters <> ''
+  AND NOT (kind = 'author' AND (regexp_matches(words, '{splits.UNKNOWN}') OR regexp_matches(letters, '{splits.UNKNOWN_COMPOUND}')))),
+reach(document_id, other) AS (
+  SELECT document_id, document_id FROM (SELECT DISTINCT document_id FROM ties)
+  UNION
+  SELECT r.document_id, b.document_id FROM reach r JOIN ties a ON a.document_id = r.other JOIN ties b ON b.credit = a.credit),
+groups AS (SELECT document_id, min(other) AS group_id FROM reach GROUP BY document_id)"""
+
+
 def oracle_sql() -> dict[str, str]:
-    unknown = ", ".join(f"'{x}'" for x in splits.UNKNOWN_NAMES)
     return {
         "p1_found": f"WITH {_VALID_SEGMENTS} SELECT least(train_id, held_id) AS segment_id_a, greatest(train_id, held_id) AS segment_id_b FROM links",
         "p1_report": f"""WITH {_VALID_SEGMENTS},
@@ -151,20 +172,16 @@ SELECT form_key, surface, CAST(rank_no AS INTEGER) AS rank_no FROM ranked WHERE
         "p3_found": f"WITH {_REPORTS} SELECT token, mark FROM marked WHERE mark IS NOT NULL",
         "p3_terms": f"WITH {_REPORTS} SELECT token, files, occurrences, mark FROM marked",
         "p4_found": f"""
-WITH RECURSIVE named AS (
-  SELECT document_id, lower(trim(kind)) AS kind, {letters_sql("name")} AS letters FROM text_credits
-  WHERE document_id IS NOT NULL AND name IS NOT NULL AND lower(trim(kind)) IN ('author', 'work')),
-ties AS (SELECT DISTINCT document_id, kind || ':' || letters AS credit FROM named WHERE letters <> '' AND letters NOT IN ({unknown})),
-reach(document_id, other) AS (
-  SELECT document_id, document_id FROM (SELECT DISTINCT document_id FROM ties)
-  UNION
-  SELECT r.document_id, b.document_id FROM reach r JOIN ties a ON a.document_id = r.other JOIN ties b ON b.credit = a.credit),
-groups AS (SELECT document_id, min(other) AS group_id FROM reach GROUP BY document_id),
+WITH RECURSIVE {_GROUPS},
 recorded AS (
   SELECT document_id, nullif(lower(trim(split)), '') AS split
   FROM (SELECT *, row_number() OVER (PARTITION BY document_id ORDER BY built_at DESC NULLS LAST, split DESC NULLS LAST) AS rn FROM canonical_manifest WHERE document_id IS NOT NULL) WHERE rn = 1),
 torn AS (SELECT group_id FROM groups JOIN recorded USING (document_id) GROUP BY group_id HAVING count(DISTINCT split) > 1)
 SELECT document_id, group_id FROM groups JOIN torn USING (group_id)""",
+        "p4_groups": f"""
+WITH RECURSIVE {_GROUPS},
+every AS (SELECT DISTINCT d.document_id, coalesce(group_id, d.document_id) AS group_id FROM (SELECT document_id FROM canonical_manifest WHERE document_id IS NOT NULL) d LEFT JOIN groups USING (document_id))
+SELECT document_id, group_id, count(*) OVER (PARTITION BY group_id) AS group_size FROM every""",
         "p6_found": f"""
 WITH d AS (SELECT doc_id, {letters_sql("text")} AS t FROM documents WHERE text IS NOT NULL),
 i AS (SELECT item_id, {letters_sql("text")} AS t FROM benchmark WHERE text IS NOT NULL),

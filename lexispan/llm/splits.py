@@ -10,6 +10,8 @@ list.  Components then go to splits by weighted rendezvous hashing.
 
 from __future__ import annotations
 
+import re
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -19,35 +21,63 @@ from lexispan.functions.labels import plain_label
 from lexispan.functions.letters import letters_list
 from lexispan.session import cut, drop_cut
 
-# What an entry says, in letters, if the author is not known.
-UNKNOWN_NAMES = (
-    "anon", "anonym", "anonymous", "anonymus", "ajnata", "ajnatah", "ajnatakartrka", "unknown", "authorunknown", "unknownauthor",
-    "notknown", "na", "nn", "none", "null", "nil", "unbekannt", "incertus", "various",
+#: An entry only says that the author is not known if, in the letters of its words, nothing but these stands in it:
+#: at least one that says so, and any number of words for persons and small words, in any order.
+_SAYS_SO = (
+    "anon(ym[a-z]*)?", "[a-z]*(ajnat|avijnat|agnat)[a-z]*", "unknown", "unbekannt[a-z]*", "unattributed", "unidentified", "unnamed", "unspecified", "unsigned", "uncertain",
+    "incert[a-z]*", "ignot[a-z]*", "not", "no", "non", "none", "null", "nil", "nn", "n n", "sn", "s n", "na", "n a", "nescio", "missing", "without", "various", "ohne", "nicht",
+)
+_FILLER = (
+    "the", "a", "an", "of", "is", "are", "by", "or", "und", "and", "der", "die", "des", "ein", "known", "given", "stated", "recorded", "identified", "named", "bekannt", "genannt",
+    "author[a-z]*", "autor[a-z]*", "auctor[a-z]*", "poet[a-z]*", "writer[a-z]*", "verfasser[a-z]*", "scribe[a-z]*", "composer[a-z]*", "sage", "person[a-z]*", "name[a-z]*",
+    "kavi[a-z]*", "kart[a-z]*", "kara", "kavih", "hand", "source", "traditional",
 )
+UNKNOWN = rf"^((({'|'.join(_FILLER)}) )*({'|'.join(_SAYS_SO)}))( ({'|'.join((*_SAYS_SO, *_FILLER))}))*$"
+UNKNOWN_COMPOUND = r"^(author|autor|poet)?(unknown|anonym|unbekannt|notknown)[a-z]*(author|autor|poet|kavi|kartr)?[a-z]?$"
 
 SPLITS = (("train", 0.8), ("dev", 0.1), ("test", 0.1))
 
 
 @F.pandas_udf(T.StringType())
-def letters_of(texts: pd.Series) -> pd.Series:
-    """Letters of each text; see lexispan.functions.letters."""
-    return pd.Series(letters_list([None if x is None or x is pd.NA or x != x else x for x in texts]), dtype=object)
+def words_of(texts: pd.Series) -> pd.Series:
+    """The letters of each word of a text, with a space between words; see lexispan.functions.letters."""
+    parts = [re.split(r"[^\w\u0300-\u036f\u0900-\u0963\u200c\u200d]+|_", x) if isinstance(x, str) else [] for x in texts]
+    flat = iter(letters_list([w for p in parts for w in p]))
+    return pd.Series([" ".join(w for w in [next(flat) for _ in p] if w) for p in parts], dtype=object)
 
 
-def document_ties(credits: DataFrame, *, kinds: tuple[str, ...] = ("author", "work"), unknown: tuple[str, ...] = UNKNOWN_NAMES) -> DataFrame:
+def document_ties(credits: DataFrame, *, kinds: tuple[str, ...] = ("author", "work"), unknown_kinds: tuple[str, ...] = ("author",)) -> DataFrame:
     """(document_id, credit): the credits that tie documents, named by kind and the letters of the name.
 
     Rows with a null document, kind or name, of another kind, without letters in the
-    name, or that say that the author is not known are left out; repeats count once.
+    name, or (of `unknown_kinds`) that only say that the author is not known are left
+    out; repeats count once.
     """
     rows = credits.select("document_id", plain_label(F.col("kind")).alias("kind"), "name").where(
         F.col("document_id").isNotNull() & F.col("kind").isin(*kinds) & F.col("name").isNotNull()
     )
-    named = rows.withColumn("letters", letters_of("name")).where((F.col("letters") != "") & ~F.col("letters").isin(*unknown))
+    letters = F.replace("words", F.lit(" "))
+    nobody = F.col("kind").isin(*unknown_kinds) & (F.col("words").rlike(UNKNOWN) | letters.rlike(UNKNOWN_COMPOUND))
+    named = rows.withColumn("words", words_of("name")).where((F.col("words") != "") & ~nobody).withColumn("letters", letters)
     return named.select("document_id", F.concat_ws(":", "kind", "letters").alias("credit")).distinct()
 
 
-def hash_to_min(links: DataFrame, left: str, right: str, *, max_rounds: int = 60) -> DataFrame:
+def _with_least(clusters: DataFrame, size: int, hot: int) -> DataFrame:
+    """(least, member): every row of a cluster with the least member of its node.
+
+    Nodes with more than `hot` rows (there are at most size / hot) aren't shuffled
+    again: their least members are broadcast to where their rows lie.
+    """
+    least = clusters.groupBy("node").agg(F.min("member").alias("least"), F.count(F.lit(1)).alias("n"))
+    if size <= hot:
+        return clusters.join(least, "node").select("least", "member")
+    least = cut(least)
+    large, small = F.broadcast(least.where(F.col("n") > hot)), least.where(F.col("n") <= hot)
+    there = clusters.join(large, "node").select("least", "member")
+    return there.unionByName(clusters.join(large, "node", "left_anti").join(small, "node").select("least", "member"))
+
+
+def hash_to_min(links: DataFrame, left: str, right: str, *, max_rounds: int = 60, hot: int = 100_000) -> DataFrame:
     """(node, component) of the graph with the given links; component is the least node of it.
 
     Nodes are strings, least in code point order.  Rows with a null end are left
@@ -61,8 +91,7 @@ def hash_to_min(links: DataFrame, left: str, right: str, *, max_rounds: int = 60
     clusters = cut(start.union(own).distinct())
     size = clusters.count()
     for _ in range(max_rounds):
-        least = clusters.groupBy("node").agg(F.min("member").alias("least"))
-        sent = clusters.join(least, "node").select("least", "member")
+        sent = _with_least(clusters, size, hot)
         following = cut(sent.select(F.col("least").alias("node"), "member").union(sent.select(F.col("member").alias("node"), F.col("least").alias("member"))).distinct())
         # Stable if nothing moved: as many rows as before, all of which were there.
         new_size = following.count()
@@ -108,6 +137,14 @@ def rendezvous(key: Column, weights: dict[str, float], seed: str) -> Column:
     return F.array_max(F.array(*scores))["name"] if len(scores) > 1 else scores[0]["name"]
 
 
+def all_groups(manifest: DataFrame, credits: DataFrame) -> DataFrame:
+    """(document_id, group_id, group_size) of every document of the manifest; untied documents are groups of their own."""
+    documents = valid_manifest(manifest).select("document_id")
+    ties = document_groups(document_ties(credits))
+    grouped = cut(documents.join(ties, "document_id", "left").withColumn("group_id", F.coalesce("group_id", "document_id")))
+    return grouped.join(grouped.groupBy("group_id").agg(F.count(F.lit(1)).alias("group_size")), "group_id").select("document_id", "group_id", "group_size")
+
+
 def grouped_splits(manifest: DataFrame, credits: DataFrame, *, splits: tuple[tuple[str, float], ...] = SPLITS, seed: str = "lexispan", big: float = 0.05) -> DataFrame:
     """(document_id, group_id, group_size, split) of every document of the manifest, with one split for each group.
 
@@ -117,10 +154,8 @@ def grouped_splits(manifest: DataFrame, credits: DataFrame, *, splits: tuple[tup
     weighted rendezvous hashing with what each split then still lacks.  Untied
     documents are groups of their own.  An empty manifest gives no rows.
     """
-    documents = valid_manifest(manifest).select("document_id")
-    ties = document_groups(document_ties(credits))
-    grouped = cut(documents.join(ties, "document_id", "left").withColumn("group_id", F.coalesce("group_id", "document_id")))
-    sizes = grouped.groupBy("group_id").agg(F.count(F.lit(1)).alias("group_size"))
+    grouped = cut(all_groups(manifest, credits))
+    sizes = grouped.select("group_id", "group_size").distinct()
     total = grouped.count()
     lacking = {name: share * total for name, share in splits}
     dealt: dict[str, str] = {}
@@ -132,7 +167,7 @@ def grouped_splits(manifest: DataFrame, credits: DataFrame, *, splits: tuple[tup
     split = rendezvous(F.col("group_id"), weights, seed)
     for group, name in dealt.items():
         split = F.when(F.col("group_id") == group, name).otherwise(split)
-    return grouped.join(sizes, "group_id").select("document_id", "group_id", "group_size", split.alias("split"))
+    return grouped.select("document_id", "group_id", "group_size", split.alias("split"))
 
 
 def segment_splits(segments: DataFrame, documents: DataFrame) -> DataFrame:
