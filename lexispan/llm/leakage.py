@@ -92,15 +92,17 @@ def _chunks(starts: np.ndarray, letters: int = 1 << 20) -> Iterator[tuple[int, i
         low = high
 
 
-def tile(document: np.ndarray, item: np.ndarray, least: int) -> list[tuple[int, int, int]]:
+def tile(document: np.ndarray, item: np.ndarray, least: int, of_document: np.ndarray | None = None) -> list[tuple[int, int, int]]:
     """Greedy string tiling of two letter arrays: tiles (document place, item place, letters), longest first.
 
     Of equally long matches the one first in the document, then in the item, is
     marked first.  No letter of either side is in two tiles; none shorter than `least`.
+    `of_document` has the document's run hashes if they are known.
     """
     if len(document) < least or len(item) < least:
         return []
-    of_item, of_document = run_hashes(item, least), run_hashes(document, least)
+    of_item = run_hashes(item, least)
+    of_document = _hash_all(document, least) if of_document is None else of_document
     order = np.argsort(of_item, kind="stable")
     known = of_item[order]
     low, high = np.searchsorted(known, of_document, "left"), np.searchsorted(known, of_document, "right")
@@ -134,9 +136,9 @@ def tile(document: np.ndarray, item: np.ndarray, least: int) -> list[tuple[int,
     return tiles
 
 
-def _measured(document: np.ndarray, item: np.ndarray, seed: int) -> tuple[int, int, int]:
+def _measured(document: np.ndarray, item: np.ndarray, seed: int, of_document: np.ndarray | None = None) -> tuple[int, int, int]:
     """Longest tile, letters in tiles, number of tiles."""
-    tiles = tile(document, item, seed)
+    tiles = tile(document, item, seed, of_document)
     return (tiles[0][2], sum(n for *_, n in tiles), len(tiles)) if tiles else (0, 0, 0)
 
 
@@ -206,10 +208,12 @@ def _against_broadcast(docs: DataFrame, tests: DataFrame, kinds: T.StructType, s
                 if len(texts):
                     parts.append(np.unique(np.stack([texts, owners[places]], axis=1), axis=0))
             pairs = np.concatenate(parts)
-            measured = []
-            for d, i in pairs.tolist():
-                item = item_letters[item_starts[i] : item_starts[i + 1]]
-                measured.append((*_measured(found[at[d] : at[d + 1]], item, seed), len(item)))
+            measured, last, hashes = [], -1, None
+            for d, i in pairs.tolist():  # sorted, so each document is hashed once
+                item, document = item_letters[item_starts[i] : item_starts[i + 1]], found[at[d] : at[d + 1]]
+                if d != last:
+                    last, hashes = d, _hash_all(document, seed)
+                measured.append((*_measured(document, item, seed, hashes), len(item)))
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column(0).take(pa.array(pairs[:, 0])),
