@@ -399,7 +399,7 @@ def _further(column: pa.Array, own: Grader) -> Grader | None:
 
 
 def calibrate(graded: DataFrame, grader: Grader, rare: DataFrame | None = None, *, sample: int = 20_000) -> Calibration:
-    """Fits the calibration on graded documents, each by grades from the other folds.  Of more than `sample` those with the lowest hash of their id are taken."""
+    """Fits the calibration on graded documents, each by grades from the other folds.  Of more than `sample` about so many are taken, those whose hash of the id is below a bound."""
     shared = graded.sparkSession.sparkContext.broadcast(grader)
     width = len(QUANTILES) + 4
 
@@ -420,7 +420,8 @@ def calibrate(graded: DataFrame, grader: Grader, rare: DataFrame | None = None,
                 names=["lang", "low", "high", "features"],
             )
 
-    few = graded.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
+    n = graded.count()
+    few = graded if n <= sample else graded.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < (1 << 30) * sample // n)
     if rare is not None:
         few = cut(few)
     table = _with_rare(few, rare, shared).select("doc_id", "text", "low", "high", "rare").mapInArrow(run, "lang int, low int, high int, features array<double>").toArrow()
