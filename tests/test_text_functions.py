@@ -58,12 +58,16 @@ def test_spacing(spark, text, condition, kind, expected):
     assert applied(spark, lambda c: spacing.spaced(c, condition, kind), [text, None]) == [expected, None]
 
 
+# Texts and what must come of them.
 NORMALIZED = {
-    "अ​ग्नि": "अग्नि", "राम  गच्छति": "राम गच्छति", "राम\tगच्छति वनम्　इति": "राम गच्छति वनम् इति", "  रामः  \n  गच्छति  ": "रामः\nगच्छति",
-    "रामः\n\n\n\nगच्छति": "रामः\n\nगच्छति", "रामः  ।   गच्छति": "रामः। गच्छति", "रामः |": "रामः।", "रामः ||०||": "रामः॥", "रामः॥ २३ ॥": "रामः॥",
-    "रामः॥ २॥": "रामः॥", "रामः ॥ गच्छति": "रामः॥\nगच्छति", "सोऽहम्": "सोऽहम्", "रामः, गच्छति: वनम्!": "रामः गच्छति वनम्।", "अध्याय 12 ३": "अध्याय",
-    "रामः abc @@@ गच्छति": "रामः गच्छति", "12\n[रामः]* गच्छति¹\nfooter 3": "रामः गच्छति", "अनुक्रमणीपर्व\n१": "अनुक्रमणीपर्व", "रामः\n६। ७३\nगच्छति": "रामः\nगच्छति",
-    "रामः\n।\nगच्छति": "रामः\nगच्छति", "।\n॥": "", "रामः\n% File name : mbh01.txt": "रामः", "रामः\nhttp://example.org/source": "रामः",
+    "अ​ग्नि": "अग्नि", "राम  गच्छति": "राम गच्छति", "राम\tगच्छति\u00a0वनम्\u3000इति": "राम गच्छति वनम् इति", "  रामः  \n  गच्छति  ": "रामः\nगच्छति", "रामः\nगच्छति": "रामः\nगच्छति",
+    "रामः\n\n\n\nगच्छति": "रामः\n\nगच्छति", "रामः  ।   गच्छति": "रामः। गच्छति", "रामः |": "रामः।", "रामः ||": "रामः॥", "रामः ||०||": "रामः॥",
+    "नारायणं नमस्कृत्य नरं चैव नरोत्तमम् |\nदेवीं सरस्वतीं चैव ततो जयमुदीरयेत् ||०||": "नारायणं नमस्कृत्य नरं चैव नरोत्तमम्।\nदेवीं सरस्वतीं चैव ततो जयमुदीरयेत्॥",
+    "रामः॥": "रामः॥", "रामः॥\nगच्छति": "रामः॥\nगच्छति", "रामः॥२३॥": "रामः॥", "रामः॥ २३ ॥": "रामः॥", "रामः॥   २३॥": "रामः॥", "रामः॥ २॥": "रामः॥", "रामः॥\n": "रामः॥",
+    "रामः ॥ गच्छति": "रामः॥\nगच्छति", "सोऽहम्": "सोऽहम्", "रामः, गच्छति: वनम्!": "रामः गच्छति वनम्।", "अध्याय 12 ३": "अध्याय", "रामः 123 गच्छति": "रामः गच्छति", "रामः १२३ गच्छति": "रामः गच्छति",
+    "रामः abc @@@ गच्छति": "रामः गच्छति", "12\n[रामः]* गच्छति¹\nfooter 3": "रामः गच्छति", "अनुक्रमणीपर्व\n१": "अनुक्रमणीपर्व", "अध्याय\n२": "अध्याय", "१२\nरामः": "रामः",
+    "रामः\n६। ७३\nगच्छति": "रामः\nगच्छति", "रामः। गच्छति": "रामः। गच्छति", "रामः\n।\nगच्छति": "रामः\nगच्छति", "रामः\n॥\nगच्छति": "रामः\nगच्छति", "।\n॥": "",
+    "रामः\n% File name : mbh01.txt": "रामः", "रामः\nEncoding: ISCII": "रामः", "रामः\nElectronic text prepared in 1999": "रामः", "रामः\nhttp://example.org/source": "रामः",
     "रामः\n02/23/2025 03:52:33": "रामः", "रामः गच्छति।\nसीता पठति।\n% File name : sample.txt\nEncoding: ISCII": "रामः गच्छति।\nसीता पठति।",
 }
 
