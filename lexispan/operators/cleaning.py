@@ -1,13 +1,11 @@
-"""Text-cleaning rules, each with its result and how often it applied.
+"""Cleaning passes over documents: texts, counts of rules, changed lines and occurrences as frames.
 
-A pass is an ordered list of named patterns over the lines of a text.  It runs as one
-Arrow UDF that gives the cleaned text and a map of counts; line numbers are kept, a
-removed line being left empty.
+What each pass does to a text is in `passes`; here it runs as one Arrow UDF that gives
+the text and a map of counts.
 """
 
 from __future__ import annotations
 
-import re
 from collections import Counter
 from collections.abc import Callable
 
@@ -16,124 +14,11 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from lexispan.operators import passes
+from lexispan.operators.passes import PASSES
 from lexispan.sources.corpus import lines_of
 
 CLEANED = T.StructType([T.StructField("text", T.StringType()), T.StructField("counts", T.MapType(T.StringType(), T.LongType()))])
-Rule = tuple[str, re.Pattern, str | Callable]
-LETTERS = "a-zA-Zāīūṛṝḷḹṅñṭḍṇśṣṃḥ"
-VOWELS = "aāiīuūṛṝḷḹeo"
-ALPHABET = f"{VOWELS}kgṅcjñṭḍṇtdnpbmyrlvśṣshṃḥ"
-
-
-def _rules(*rows: tuple[str, str, str | Callable]) -> list[Rule]:
-    return [(name, re.compile(pattern), by) for name, pattern, by in rows]
-
-
-#: Encoding, boilerplate, addresses, numbers and marks at the ends of a line.
-CANONICAL = _rules(
-    ("boilerplate", r"(?i)^\s*(?:copyright|this file is|input by|proofread|encoding|text converted|end of|the end)\b.*$", ""),
-    ("address", r"(?:https?://|www\.)\S+|\b[\w.+-]+@[\w-]+\.[\w.]+", ""),
-    ("decoration", r"[*=_~#]{2,}|^\s*[-–—]{2,}\s*$", ""),
-    ("prefix_number", r"^\s*(?:\(?\d+(?:[.,:]\d+)*\)?[.:)]?\s+)+", ""),
-    ("suffix_number", r"\s*(?:[|।]+\s*)?\(?\d+(?:[.,:]\d+)*[a-d]?\)?\s*(?:[|।]+\s*)?$", lambda m: " ||" if "||" in m[0] or "॥" in m[0] else " |" if "|" in m[0] else ""),
-    ("slash_danda", r"\s*//+\s*", " || "),
-    ("single_slash", r"\s+/\s*(?=\s|$)", " |"),
-    ("spaces", r"[ \t]{2,}", " "),
-)
-#: Control characters, underscores, brackets.
-MECHANICAL = _rules(
-    ("control", r"[\x00-\x08\x0b-\x1f\x7f​-‏  ﻿]", ""),
-    ("underscore", r"_+", " "),
-    ("square_citation", r"\[[^\[\]]*\d[^\[\]]*\]", ""),
-    ("square_supplement", rf"\[([{LETTERS}' ]+)\]", r"\1"),
-    ("angle", r"<([^<>]*)>", r"\1"),
-    ("round_editorial", r"\((?:[^()]*\d[^()]*|[?!.,; ]*|(?:em|cf|var|v\.l|sic)[^()]*)\)", ""),
-    ("round_supplement", rf"\(([{LETTERS}' ]+)\)", r"\1"),
-    ("spaces", r"[ \t]{2,}|[ \t]+$", lambda m: " " if m.end() < len(m.string) else ""),
-)
-#: Lines that only say where one is, and apparatus.
-EDITORIAL = _rules(
-    ("locator_line", r"^\s*(?:[A-Za-z]{1,8}[._ ])?\d+(?:[.,:|_-]\d+)*\s*[|।]*\s*$", ""),
-    ("dotted_locator", r"\b[A-Z][A-Za-z]{0,7}[._]\d+(?:[.,]\d+)*[a-d]*\b", ""),
-    ("danda_number", r"([|।॥]+)\s*\d+(?:[.,]\d+)*\s*([|।॥]+)", r"\2"),
-    ("apparatus", r"\{[^{}]*\}|\[(?:var|app|note|fn)[^\]]*\]", ""),
-    ("spaces", r"[ \t]{2,}", " "),
-)
-
-
-def apply_rules(text: str, rules: list[Rule]) -> tuple[str, Counter]:
-    """One pass over the lines."""
-    counts: Counter = Counter()
-    lines = []
-    for line in text.split("\n"):
-        for name, pattern, by in rules:
-            line, n = pattern.subn(by, line)
-            if n:
-                counts[name] += n
-        lines.append(line)
-    return "\n".join(lines), counts
-
-
-def to_fixed_point(text: str, rules: list[Rule], *, rounds: int = 10) -> tuple[str, Counter]:
-    """Passes until nothing changes; raises if that takes too many."""
-    total: Counter = Counter()
-    for _ in range(rounds):
-        after, counts = apply_rules(text, rules)
-        if after == text:
-            return text, total
-        text, total = after, total + counts
-    raise ValueError(f"no fixed point after {rounds} rounds")
-
-
-def lateral_to_d(text: str) -> tuple[str, Counter]:
-    """ḷ and ḷh beside a vowel are ḍ and ḍh."""
-    pattern = re.compile(rf"(?<=[{VOWELS}])ḷ(h?)(?=[{VOWELS}])")
-    after, n = pattern.subn(r"ḍ\1", text)
-    return after, Counter({"lateral": n} if n else {})
-
-
-def closed_alphabet(text: str) -> tuple[str, Counter]:
-    """Lower-case letters, spaces, bars and apostrophes that stand after e or o and before a letter; everything else goes."""
-    counts: Counter = Counter()
-    lines = []
-    for line in text.split("\n"):
-        low = line.lower()
-        kept = re.sub(rf"[^{ALPHABET}'| ]", "", low)
-        counts["projected"] += len(low) - len(kept)
-        valid = re.sub(rf"(?<![eo])(?<![eo] )'|'(?![{ALPHABET}])|(?<=')'", "", kept)
-        counts["apostrophe"] += len(kept) - len(valid)
-        lines.append(re.sub(r" +", " ", valid).strip())
-    return "\n".join(lines), +counts
-
-
-def hyphen_kinds(line: str) -> list[tuple[int, str]]:
-    """(place, kind) of each hyphen: SEPARATOR between letters, NON_SEPARATOR beside a number or alone, REVIEW otherwise."""
-    out = []
-    for m in re.finditer(r"[-‐‑–]", line):
-        a, b = line[: m.start()][-1:], line[m.end() :][:1]
-        letter = lambda c: bool(re.match(f"[{LETTERS}ऀ-ॿ]", c))
-        kind = "SEPARATOR" if letter(a) and letter(b) else "NON_SEPARATOR" if (a + b).strip() == "" or a.isdigit() or b.isdigit() else "REVIEW"
-        out.append((m.start(), kind))
-    return out
-
-
-def pluta_marks(text: str) -> list[tuple[int, str, str]]:
-    """(place, base, decision) of each vowel with a 3 after it: AUTO for long bases, REVIEW for short ones, none where it is a locator."""
-    out = []
-    for m in re.finditer(rf"([{VOWELS}]|ai|au)3(?![\d.,:])", text):
-        if not re.search(r"[\d.,:]$", text[: m.start()]):
-            out.append((m.start(), m[1], "AUTO" if m[1] in ("ā", "ī", "ū", "ṝ", "e", "o", "ai", "au") else "REVIEW"))
-    return out
-
-
-def separator_kinds(line: str, separator: str = "/") -> list[tuple[int, str]]:
-    """(place, decision) of a separator: AUTO between two words or a word and the end, IGNORE beside numbers, REVIEW otherwise."""
-    out = []
-    for m in re.finditer(re.escape(separator) + "+", line):
-        left, right = line[: m.start()].rstrip()[-1:], line[m.end() :].lstrip()[:1]
-        word = lambda c: bool(re.match(f"[{LETTERS}ऀ-ॿ'|।॥]", c))
-        out.append((m.start(), "IGNORE" if left.isdigit() or right.isdigit() else "AUTO" if word(left) and (word(right) or not right) else "REVIEW"))
-    return out
 
 
 def column(function: Callable[[str], tuple[str, Counter]]):
@@ -147,15 +32,6 @@ def column(function: Callable[[str], tuple[str, Counter]]):
     return run
 
 
-PASSES: dict[str, Callable[[str], tuple[str, Counter]]] = {
-    "canonical": lambda x: to_fixed_point(x, CANONICAL),
-    "mechanical": lambda x: apply_rules(x, MECHANICAL),
-    "editorial": lambda x: apply_rules(x, EDITORIAL),
-    "lateral": lateral_to_d,
-    "closed_alphabet": closed_alphabet,
-}
-
-
 def cleaned(documents: DataFrame, name: str, *, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, before, text, counts) of one named pass."""
     done = documents.select(key, F.col(text).alias("before"), column(PASSES[name])(text).alias("_c"))
@@ -175,8 +51,48 @@ def change_rows(done: DataFrame, *, key: str = "doc_id") -> DataFrame:
     return before.join(after, [key, "line_no"]).where("before <> after")
 
 
-def structure_lines(documents: DataFrame, *, key: str = "doc_id", text: str = "text", times: int = 3, longest: int = 60) -> DataFrame:
-    """(key, line_no, line, rule): titles (the first line, before a blank one), sigla (short, all upper case) and headers that the document repeats before blank lines."""
+_MARKS = T.ArrayType(
+    T.StructType([T.StructField("line_no", T.IntegerType()), T.StructField("place", T.IntegerType()), *(T.StructField(c, T.StringType()) for c in ("left", "right", "decision", "reason", "action"))])
+)
+
+
+def _marks_of(kind: str, text: str) -> list[tuple]:
+    out = []
+    for no, line in enumerate(text.split("\n"), 1):
+        if kind == "pluta":
+            out += [(no, place, base, "3", decision, "", "" if decision == "AUTO" else None) for place, base, decision in passes.pluta_marks(line)]
+        else:
+            for m in passes.hyphen_marks(line) if kind == "hyphens" else passes.separator_marks(line):
+                action = passes.hyphen_action(m)[0] if kind == "hyphens" else m.decision
+                out.append((no, m.place, m.left, m.right, m.decision, m.reason, action))
+    return out
+
+
+def mark_rows(documents: DataFrame, kind: str, *, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """(key, line_no, place, left, right, decision, reason, action) of every hyphen, separator or prolated vowel (`hyphens`, `separators`, `pluta`)."""
+
+    @F.pandas_udf(_MARKS)
+    def found(texts: pd.Series) -> pd.Series:
+        return pd.Series([[] if x is None or x != x else _marks_of(kind, x) for x in texts])
+
+    return documents.select(key, F.explode(found(text)).alias("m")).select(key, "m.*")
+
+
+def hyphen_candidates(rows: DataFrame, *, key: str = "doc_id", min_occurrences: int = 20, min_separator_share: float = 0.95, max_review_share: float = 0.05) -> DataFrame:
+    """(key, hyphens, separators, reviews, candidate): documents with enough hyphens, almost all of which part words."""
+    of = lambda decision: F.count_if(F.col("decision") == decision)
+    counted = rows.groupBy(key).agg(F.count(F.lit(1)).alias("hyphens"), of("SEPARATOR").alias("separators"), of("REVIEW").alias("reviews"))
+    enough = (F.col("hyphens") >= min_occurrences) & (F.col("separators") >= F.col("hyphens") * min_separator_share) & (F.col("reviews") <= F.col("hyphens") * max_review_share)
+    return counted.withColumn("candidate", enough)
+
+
+def without_marked(documents: DataFrame, kind: str, *, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """The documents that hold no mark of the kind."""
+    return documents.join(mark_rows(documents, kind, key=key, text=text).select(key).distinct(), key, "left_anti")
+
+
+def structure_lines(documents: DataFrame, *, key: str = "doc_id", text: str = "text", times: int = 2, longest: int = 60) -> DataFrame:
+    """(key, line_no, line, rule): titles (the first line, before a blank one), sigla (all upper case, also with what they stand for) and headers that the document repeats before blank lines."""
     rows = lines_of(documents, key=key, text=text).withColumn("line", F.trim("line"))
     each = Window.partitionBy(key)
     seen = rows.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy(key, "line"))).withColumn("next", F.lead("line").over(each.orderBy("line_no")))
@@ -184,13 +100,20 @@ def structure_lines(documents: DataFrame, *, key: str = "doc_id", text: str = "t
     blank_next = F.coalesce(F.col("next") == "", F.lit(True))
     short = F.length("line") <= longest
     rule = (
-        F.when((F.col("line_no") == F.col("first")) & blank_next & short, "title")
-        .when(F.col("line").rlike(r"^[A-Z]{2,8}[.]?$"), "siglum")
+        F.when(F.col("line").rlike(r"^\p{Lu}{2,8}[.]?( = \p{Lu}{2,8}[.]?)?$"), "siglum")
         .when((F.col("n") >= times) & blank_next & short, "repeated_header")
+        .when((F.col("line_no") == F.col("first")) & blank_next & short, "title")
     )
     return seen.where("line <> ''").withColumn("rule", rule).where("rule is not null").select(key, "line_no", "line", "rule")
 
 
+def without_lines(documents: DataFrame, lines: DataFrame, *, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """(key, text) with the listed lines (key, line_no) left empty."""
+    gone = lines.groupBy(key).agg(F.collect_set("line_no").alias("_gone"))  # bounded by a document
+    kept = F.transform(F.split(text, "\n", -1), lambda line, i: F.when(F.array_contains("_gone", i + 1), F.lit("")).otherwise(line))
+    return documents.select(key, text).join(gone, key, "left").select(key, F.when(F.col("_gone").isNull(), F.col(text)).otherwise(F.array_join(kept, "\n")).alias(text))
+
+
 def occurrences(documents: DataFrame, pattern: str, *, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, line_no, ordinal, token) of standalone words that match."""
     rows = lines_of(documents, key=key, text=text).select(key, "line_no", F.posexplode(F.split("line", " ")).alias("ordinal", "token"))
