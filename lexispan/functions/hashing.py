@@ -33,18 +33,26 @@ def _unit(keys: pd.Series) -> pd.Series:
 unit_interval = F.pandas_udf(T.DoubleType())(_unit)
 
 
+def unit_sha256(key: Column) -> Column:
+    """A number in [0, 1) from the first 13 hex digits of SHA-256; stays inside the JVM."""
+    return F.conv(F.substr(F.sha2(key, 256), F.lit(1), F.lit(13)), 16, 10).cast("double") / F.lit(float(1 << 52))
+
+
+UNITS = {"blake2b": unit_interval, "sha256": unit_sha256}
+
+
 def document_id(source: Column, path: Column) -> Column:
     """doc_ and 24 hex digits of the source without case and the path with forward slashes and no leading ./"""
     plain = F.regexp_replace(F.translate(path, "\\", "/"), r"^(\./)+", "")
     return F.concat(F.lit("doc_"), blake2b_12(F.concat(F.lower(F.trim(source)), F.lit("|"), plain)))
 
 
-def assigned_split(document: Column, *, seed: str = SPLIT_SEED, shares: tuple[tuple[str, float], ...] = SPLIT_SHARES) -> Column:
+def assigned_split(document: Column, *, seed: str = SPLIT_SEED, shares: tuple[tuple[str, float], ...] = SPLIT_SHARES, digest: str = "blake2b") -> Column:
     """The first split whose cumulative share exceeds the document's number in [0, 1)."""
     total = sum(w for _, w in shares)
     if not shares or total <= 0 or any(w < 0 for _, w in shares):
         raise ValueError("split shares must be positive")
-    value, up, out = unit_interval(F.concat(F.lit(f"{seed}|"), document)), 0.0, F.lit(shares[-1][0])
+    value, up, out = UNITS[digest](F.concat(F.lit(f"{seed}|"), document)), 0.0, F.lit(shares[-1][0])
     steps = []
     for name, weight in shares:
         up += weight / total
@@ -54,7 +62,7 @@ def assigned_split(document: Column, *, seed: str = SPLIT_SEED, shares: tuple[tu
     return F.when(value.isNotNull(), out)
 
 
-def included(path: Column, line_no: Column, weight: Column, *, seed: str = SAMPLE_SEED) -> Column:
+def included(path: Column, line_no: Column, weight: Column, *, seed: str = SAMPLE_SEED, digest: str = "blake2b") -> Column:
     """Whether a line is in the weighted sample: always from weight 1, never at 0, else by its own number."""
-    value = unit_interval(F.concat_ws("|", F.lit(seed), path, line_no.cast("string")))
+    value = UNITS[digest](F.concat_ws("|", F.lit(seed), path, line_no.cast("string")))
     return F.when(weight >= 1, True).when(weight <= 0, False).otherwise(value < weight)

@@ -13,6 +13,11 @@ from lexispan.sources.corpus import lines_of
 ALPHABET = "aāiīuūṛṝḷḹeokgṅcjñṭḍṇtdnpbmyrlvśṣshṃḥ'| \n"
 
 
+CLASSES = (
+    "lower_ascii", "upper_ascii", "digit", "space", "western_mark", "danda", "devanagari_danda", "devanagari_digit", "devanagari", "iast", "combining", "other_ascii", "other",
+)
+
+
 def character_class(c: Column) -> Column:
     """One of thirteen classes; the first that fits."""
     return (
@@ -110,9 +115,28 @@ def strict_violations(documents: DataFrame, *, key: str = "doc_id", text: str =
     return rows.where(~F.contains(F.lit(alphabet), F.col("char")))
 
 
-def strict_examples(documents: DataFrame, *, key: str = "doc_id", text: str = "text", limit: int = 2000) -> DataFrame:
-    """The first violations by document, line and column; none means that the corpus is clean."""
-    return strict_violations(documents, key=key, text=text).orderBy(key, "line_no", "column").limit(limit)
+def strict_totals(documents: DataFrame, *, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """(key, violations, lines, chars, first_line, first_column) of every document with a character outside the alphabet; none means that the corpus is clean."""
+    rows = strict_violations(documents, key=key, text=text)
+    first = F.min(F.struct("line_no", "column"))
+    totals = rows.groupBy(key).agg(
+        F.count(F.lit(1)).alias("violations"), F.countDistinct("line_no").alias("lines"), F.array_join(F.array_sort(F.collect_set("char")), "").alias("chars"), first.alias("_f")
+    )
+    return totals.select(key, "violations", "lines", "chars", F.col("_f.line_no").alias("first_line"), F.col("_f.column").alias("first_column"))
+
+
+# English words that no Sanskrit text has, and short ones that are also Sanskrit words or fragments.
+STRONG_ENGLISH = ("the", "of", "and", "that", "this", "which", "with", "from", "every", "for", "are", "was", "were", "not", "but", "they", "their", "have", "has", "been", "these", "those", "when", "because", "only", "edition", "text", "verse")
+WEAK_ENGLISH = ("a", "an", "as", "at", "be", "by", "he", "his", "her", "i", "in", "is", "it", "no", "on", "or", "she", "so", "to", "me", "my", "we", "us", "one")
+
+
+def english_runs(rows: DataFrame, *, key: str, pos: str, word: str, least: int = 2) -> DataFrame:
+    """(key, start, end, words, strong): runs of English words with at least one that can't be Sanskrit; short ambiguous words alone are no run."""
+    strong = F.col(word).isin(*STRONG_ENGLISH)
+    hits = rows.where(strong | F.col(word).isin(*WEAK_ENGLISH)).select(key, pos, strong.cast("int").alias("_strong"))
+    island = F.col(pos) - F.row_number().over(Window.partitionBy(key).orderBy(pos))
+    found = hits.withColumn("_island", island).groupBy(key, "_island").agg(F.min(pos).alias("start"), F.max(pos).alias("end"), F.count(F.lit(1)).alias("words"), F.sum("_strong").alias("strong"))
+    return found.where((F.col("words") >= least) & (F.col("strong") > 0)).drop("_island")
 
 
 def triage(inventory: DataFrame) -> DataFrame:

@@ -135,3 +135,9 @@ def deltas(df: DataFrame, *, metric: str, order: str, value: str) -> DataFrame:
 def binary_entropy(p: Column) -> Column:
     """Entropy of a yes/no outcome in nats; 0 at the ends."""
     return F.when((p <= 0) | (p >= 1), F.lit(0.0)).otherwise(-(p * F.ln(p) + (1 - p) * F.ln(1 - p)))
+
+
+def rollup(wide: DataFrame, *, by: list[str], totals: list[str], ratios: dict[str, tuple[str, str]]) -> DataFrame:
+    """(by, metric, value): totals and ratios of totals as rows; a ratio over nothing is null."""
+    with_ratios = wide.withColumns({name: F.try_divide(a, b) for name, (a, b) in ratios.items()})
+    return with_ratios.unpivot(by, [*totals, *ratios], "metric", "value")

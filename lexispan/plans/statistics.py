@@ -9,6 +9,7 @@ from lexispan.operators import association as A
 from lexispan.operators import distances as D
 from lexispan.operators import statistics as S
 from lexispan.operators import usage as U
+from lexispan.session import cut
 
 SHARES = [0.5, 0.8, 0.9, 0.95, 0.99]
 PROBABILITIES = [0.05, 0.25, 0.5, 0.75, 0.95]
@@ -20,14 +21,30 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
-def words(spark: SparkSession, sf: str) -> DataFrame:
-    documents = table(spark, sf, "documents").select("doc_id", "text", F.coalesce("layer", F.lit("none")).alias("cell"))
-    return U.word_rows(documents, keep=("cell",))
+def valid_segments(spark: SparkSession, sf: str) -> DataFrame:
+    """(segment_id, text, ids) of the latest row of each segment."""
+    rows = table(spark, sf, "encoded_segments").where(F.col("segment_id").isNotNull())
+    return rows.groupBy("segment_id").agg(F.max(F.struct("encoded_at", "text", "ids")).alias("r")).select("segment_id", F.col("r.text").alias("text"), F.col("r.ids").alias("ids"))
+
+
+SEGMENTS = """segments AS (SELECT segment_id, text, ids FROM
+  (SELECT *, row_number() OVER (PARTITION BY segment_id ORDER BY encoded_at DESC NULLS LAST, text DESC NULLS LAST, ids DESC NULLS LAST) AS rn FROM encoded_segments WHERE segment_id IS NOT NULL) WHERE rn = 1)"""
+
+
+def words(spark: SparkSession, sf: str, cells: tuple[str, ...] | None = None) -> DataFrame:
+    """Words of all documents, or of those of some layers; a document without a layer is in the cell `none`."""
+    rows = table(spark, sf, "documents")
+    rows = rows if cells is None else rows.where(F.col("layer").isin(*cells))  # reaches the scan
+    return U.word_rows(rows.select("doc_id", "text", F.coalesce("layer", F.lit("none")).alias("cell")), keep=("cell",))
+
+
+def counted_words(spark: SparkSession, sf: str, cells: tuple[str, ...] | None = None) -> DataFrame:
+    """(cell, form_key, surface, context, n): the words summed once and written; both axes of usage are read from there."""
+    return cut(words(spark, sf, cells).groupBy("cell", "form_key", "surface", "context").agg(F.count(F.lit(1)).cast("double").alias("n")))
 
 
 def lexicon(spark: SparkSession, sf: str, cell: str | None = None) -> DataFrame:
-    rows = words(spark, sf)
-    return U.lexicon_of(U.usage_sums(rows if cell is None else rows.where(F.col("cell") == cell), "surface"))
+    return U.lexicon_of(U.usage_sums(words(spark, sf, None if cell is None else (cell,)), "surface"))
 
 
 def r6(df: DataFrame) -> DataFrame:
@@ -47,7 +64,7 @@ ranked AS (SELECT *, row_number() OVER (ORDER BY expected_count DESC, form_key)
 
 
 def context_usage(spark, sf):
-    return U.usage_sums(words(spark, sf), "context").where("expected_mass >= 3")
+    return U.usage_sums(words(spark, sf), "context")
 
 
 def surface_usage_upsert(spark, sf):
@@ -60,14 +77,14 @@ def lexicon_finalize(spark, sf):
 
 
 def lexicon_export(spark, sf):
-    rows = words(spark, sf)
-    surfaces, contexts = U.usage_sums(rows, "surface"), U.usage_sums(rows, "context")
+    rows = counted_words(spark, sf)
+    surfaces, contexts = (U.usage_sums(rows, axis, mass="n") for axis in ("surface", "context"))
     out = U.lexicon_export(U.lexicon_of(surfaces), surfaces, contexts, threshold=2.0)
     return r6(out.withColumn("probability", F.col("probability") * 1000))
 
 
 def top_lexicon(spark, sf):
-    return U.top_lexicon(lexicon(spark, sf), 20)
+    return r6(U.top_lexicon(U.smoothed(lexicon(spark, sf)), 20).withColumn("probability", F.col("probability") * 1000))
 
 
 def low_count_lexicon(spark, sf):
@@ -118,28 +135,27 @@ def association_top_items(spark, sf):
 
 
 def context_association(spark, sf):
-    return r6(A.concentration(U.usage_sums(words(spark, sf), "context"), "context").where("mass >= 20"))
+    return r6(A.concentration(U.usage_sums(words(spark, sf), "context"), "context"))
 
 
-def _forms(spark, sf, cell=None):
-    rows = words(spark, sf)
-    rows = rows if cell is None else rows.where(F.col("cell") == cell)
-    surfaces, contexts = U.usage_sums(rows, "surface"), U.usage_sums(rows, "context")
+def _forms(rows):
+    surfaces, contexts = (U.usage_sums(rows, axis, mass="n") for axis in ("surface", "context"))
     merged = A.form_table(U.lexicon_of(surfaces), A.concentration(surfaces, "surface"), A.concentration(contexts, "context"))
     return merged.withColumn("length", F.length("form_key").cast("long"))
 
 
 def association_strata(spark, sf):
-    return r6(A.strata(_forms(spark, sf), "context_top1_share", length="length", count="expected_count", mass="context_mass", length_edges=LENGTH_EDGES, count_edges=COUNT_EDGES))
+    return r6(A.strata(_forms(counted_words(spark, sf)), "context_top1_share", length="length", count="expected_count", mass="context_mass", length_edges=LENGTH_EDGES, count_edges=COUNT_EDGES))
 
 
 def association_correlation(spark, sf):
-    return r6(A.correlations(_forms(spark, sf), "expected_count", "context_top1_share", weight="context_mass"))
+    return r6(A.correlations(_forms(counted_words(spark, sf)), "expected_count", "context_top1_share", weight="context_mass"))
 
 
 def _two(spark, sf):
     value = ("expected_count", "top1_share", "entropy", "effective_support")
-    side = lambda c: _forms(spark, sf, c).select("form_key", "expected_count", *(F.col(f"context_{m}").alias(m) for m in value[1:]))
+    rows = counted_words(spark, sf, (CELL_A, CELL_B))
+    side = lambda c: _forms(rows.where(F.col("cell") == c)).select("form_key", "expected_count", *(F.col(f"context_{m}").alias(m) for m in value[1:]))
     return A.membership(side(CELL_A), side(CELL_B), value=value)
 
 
@@ -203,8 +219,8 @@ def edge_tail_share(spark, sf):
 
 
 def long_low_reuse_grid(spark, sf):
-    rows = words(spark, sf)
-    surfaces, contexts = U.usage_sums(rows, "surface"), U.usage_sums(rows, "context")
+    rows = counted_words(spark, sf)
+    surfaces, contexts = (U.usage_sums(rows, axis, mass="n") for axis in ("surface", "context"))
     forms = U.lexicon_export(U.lexicon_of(surfaces), surfaces, contexts).withColumn("length", F.length("form_key"))
     return r6(S.reuse_grid(forms, lengths=[8, 16], reuse=[2, 5], length="length", axes={"contexts": "number_of_contexts", "surface_variants": "number_of_surface_variants"}))
 
@@ -214,24 +230,30 @@ def lexical_mass_summary(spark, sf):
 
 
 def usage_rank_summary(spark, sf):
-    return r6(S.usage_summary(table(spark, sf, "events").groupBy("event_type").agg(F.round(F.sum(F.col("value").cast("decimal(18,2)")), 2).cast("double").alias("mass")), "event_type", "mass"))
+    rows = table(spark, sf, "surface_usage").where(F.col("form_key").isNotNull() & (F.col("expected_mass") > 0) & ~F.isnan("expected_mass"))
+    return r6(S.usage_summary(rows.groupBy("form_key").agg(F.sum("expected_mass").alias("mass")), "form_key", "mass"))
 
 
 def pass_dynamics(spark, sf):
-    days = table(spark, sf, "events").groupBy("event_type", F.to_date("ts").cast("string").alias("day")).agg(F.count(F.lit(1)).cast("double").alias("value"))
-    return r6(S.deltas(days, metric="event_type", order="day", value="value"))
+    rows = table(spark, sf, "surface_usage").where(F.col("expected_mass").isNotNull() & ~F.isnan("expected_mass") & F.col("exported_at").isNotNull())
+    metric = F.when(F.length("surface") > 8, "long").otherwise("short")
+    days = rows.groupBy(metric.alias("metric"), F.to_date("exported_at").cast("string").alias("day")).agg(F.sum("expected_mass").alias("value"))
+    return r6(S.deltas(days, metric="metric", order="day", value="value"))
 
 
 def runtime_rollup(spark, sf):
-    orders = table(spark, sf, "lineitem")
-    wide = orders.groupBy("l_returnflag").agg(F.sum("l_quantity").alias("quantity"), F.count(F.lit(1)).cast("double").alias("lines"), F.countDistinct("l_orderkey").cast("double").alias("orders"))
-    ratio = wide.withColumn("lines_per_order", F.try_divide("lines", "orders"))
-    return r6(ratio.unpivot(["l_returnflag"], ["quantity", "lines", "orders", "lines_per_order"], "metric", "value"))
+    rows = valid_segments(spark, sf).where(F.col("text").isNotNull())
+    wide = rows.groupBy(F.when(F.col("text").rlike("[ऀ-ॿ]"), "devanagari").otherwise("iast").alias("script")).agg(
+        F.sum(F.length("text")).cast("double").alias("characters"), F.count(F.lit(1)).cast("double").alias("segments"), F.countDistinct(F.substring_index("segment_id", ":", 1)).cast("double").alias("documents")
+    )
+    return r6(S.rollup(wide, by=["script"], totals=["characters", "segments", "documents"], ratios={"characters_per_segment": ("characters", "segments"), "segments_per_document": ("segments", "documents")}))
 
 
 def boundary_entropy(spark, sf):
-    rows = table(spark, sf, "orders").groupBy("o_orderpriority").agg(F.count(F.lit(1)).alias("rows"), (F.count_if(F.col("o_orderstatus") == "F") / F.count(F.lit(1))).alias("p"))
-    return r6(rows.select("o_orderpriority", "rows", "p", S.binary_entropy(F.col("p")).alias("entropy")))
+    """How surely a letter ends a word: of each letter the share of its uses that stand at a word's end."""
+    each = words(spark, sf).select(F.posexplode(F.split("form_key", "")).alias("at", "letter"), (F.length("form_key") - 1).alias("last")).where("letter <> ''")
+    rows = each.groupBy("letter").agg(F.count(F.lit(1)).alias("uses"), (F.count_if(F.col("at") == F.col("last")) / F.count(F.lit(1))).alias("p"))
+    return r6(rows.select("letter", "uses", "p", S.binary_entropy(F.col("p")).alias("entropy")))
 
 
 def _ab(spark, sf):
@@ -255,9 +277,9 @@ def jensen_shannon(spark, sf):
 
 
 def scalar_compare(spark, sf):
-    a, b = (table(spark, sf, "orders").where(F.col("o_orderstatus") == s).groupBy("o_orderpriority").agg(F.count(F.lit(1)).cast("double").alias(n)) for s, n in (("F", "a"), ("O", "b")))
-    both = a.join(b, "o_orderpriority", "full").fillna(0.0, ["a", "b"])
-    return r6(both.select("o_orderpriority", "a", "b", *D.scalar_comparison(F.col("a"), F.col("b"))))
+    a, b = (table(spark, sf, "documents").where(F.col("layer") == s).groupBy("source").agg(F.count(F.lit(1)).cast("double").alias(n)) for s, n in ((CELL_A, "a"), (CELL_B, "b")))
+    both = a.join(b, "source", "full").fillna(0.0, ["a", "b"])
+    return r6(both.select("source", "a", "b", *D.scalar_comparison(F.col("a"), F.col("b"))))
 
 
 def minhash_bottomk(spark, sf):
@@ -287,7 +309,7 @@ _PAIR = f"""WITH {WORDS}, a AS (SELECT form_key, expected_count, expected_count
 b AS (SELECT form_key, expected_count, expected_count / sum(expected_count) OVER () AS share, row_number() OVER (ORDER BY expected_count DESC, form_key) AS rank FROM cells WHERE cell = '{CELL_B}')"""
 _BUCKET = "CASE WHEN v = 0 THEN -100000 ELSE CAST(floor(log2(v) * 8) AS BIGINT) END"
 SQL = {
-    "context_usage": f"{_LEX} SELECT form_key, context, CAST(count(*) AS DOUBLE) AS expected_mass FROM words GROUP BY ALL HAVING count(*) >= 3",
+    "context_usage": f"{_LEX} SELECT form_key, context, CAST(count(*) AS DOUBLE) AS expected_mass FROM words GROUP BY ALL",
     "surface_usage_upsert": """SELECT form_key, surface, sum(expected_mass) AS expected_mass FROM surface_usage
 WHERE form_key IS NOT NULL AND surface IS NOT NULL AND NOT isnan(expected_mass) AND expected_mass > 0.01 GROUP BY ALL""",
     "lexicon_finalize": f"{_LEX} SELECT form_key, expected_count, round(1000 * (expected_count + 0.1) / (sum(expected_count) OVER () + 0.1 * count(*) OVER ()), 6) AS probability FROM lexicon",
@@ -296,7 +318,7 @@ s AS (SELECT form_key, count(*) AS n FROM (SELECT form_key, surface FROM words G
 c AS (SELECT form_key, count(*) AS n FROM (SELECT form_key, context FROM words GROUP BY ALL HAVING count(*) >= 2) GROUP BY form_key)
 SELECT form_key, expected_count, round(1000 * (expected_count + 0.1) / (sum(expected_count) OVER () + 0.1 * count(*) OVER ()), 6) AS probability,
   coalesce(s.n, 0) AS number_of_surface_variants, coalesce(c.n, 0) AS number_of_contexts FROM lexicon LEFT JOIN s USING (form_key) LEFT JOIN c USING (form_key)""",
-    "top_lexicon": f"{_LEX} SELECT form_key, expected_count FROM lexicon ORDER BY expected_count DESC, form_key LIMIT 20",
+    "top_lexicon": f"{_LEX} SELECT form_key, expected_count, round(1000 * (expected_count + 0.1) / (sum(expected_count) OVER () + 0.1 * count(*) OVER ()), 6) AS probability FROM lexicon ORDER BY expected_count DESC, form_key LIMIT 20",
     "low_count_lexicon": f"{_LEX} SELECT form_key, expected_count FROM lexicon ORDER BY expected_count, form_key LIMIT 20",
     "complexity_summary": f"{_LEX} SELECT count(*) AS types, sum(expected_count) AS mass, count(*) FILTER (WHERE expected_count <= 1) AS low_count_types, round(0.5 * sum(ln(1 + expected_count)), 6) AS complexity FROM lexicon",
     "thresholded_variants": f"{_LEX} SELECT form_key, count(*) AS contexts FROM (SELECT form_key, context FROM words GROUP BY ALL HAVING count(*) >= 2) GROUP BY form_key",
@@ -304,7 +326,7 @@ SELECT form_key, expected_count, round(1000 * (expected_count + 0.1) / (sum(expe
     "association_top_items": f"""WITH {_VALID_USAGE} SELECT form_key, surface, expected_mass, CAST(rank AS INTEGER) AS rank FROM
   (SELECT *, row_number() OVER (PARTITION BY form_key ORDER BY expected_mass DESC, surface DESC) AS rank FROM usage) WHERE rank <= 3""",
     "context_association": f"""{_LEX}, usage AS (SELECT form_key, context, CAST(count(*) AS DOUBLE) AS expected_mass FROM words GROUP BY ALL), {_concentration_sql('usage', 'context', 'form_key')}
-SELECT form_key, rows, support, {_R6} FROM concentration WHERE mass >= 20""",
+SELECT form_key, rows, support, {_R6} FROM concentration""",
     "association_strata": f"""{_FORMS}, binned AS (SELECT *, {_bin_sql("length", LENGTH_EDGES)} AS lb, {_bin_sql("expected_count", COUNT_EDGES)} AS cb FROM forms),
 lengths(lb) AS (VALUES {_LENGTHS}), counts(cb) AS (VALUES {_COUNTS})
 SELECT 'length_count' AS stratum, l.lb AS length_bin, c.cb AS count_bin, coalesce(forms, 0) AS forms, coalesce(eligible_forms, 0) AS eligible_forms, type_mean, training_mean, association_mean
@@ -348,14 +370,16 @@ UNION ALL SELECT 'long_low_reuse', t, axis, r, count(*) FILTER (WHERE l >= t AND
 SELECT family, length_threshold, axis, reuse_threshold, types, round(types / n, 6) AS type_share, CAST(mass AS DOUBLE) AS mass, round(mass / m, 6) AS mass_share FROM g""",
     "lexical_mass_summary": f"""{_LEX}, t AS (SELECT sum(expected_count) AS total FROM lexicon) SELECT count(*) AS types, sum(expected_count) AS mass, count(*) FILTER (WHERE expected_count <= 1) AS low_count_types,
   min(rank) FILTER (WHERE cumulative >= 0.5 * total) AS support_50, min(rank) FILTER (WHERE cumulative >= 0.9 * total) AS support_90, round(count(*) FILTER (WHERE expected_count <= 1) / count(*), 6) AS low_count_share FROM ranked, t""",
-    "usage_rank_summary": """WITH m AS (SELECT event_type, CAST(sum(CAST(value AS DECIMAL(18, 2))) AS DOUBLE) AS mass FROM events GROUP BY 1)
-SELECT event_type, mass, round(mass / sum(mass) OVER (), 6) AS share, row_number() OVER (ORDER BY mass DESC, event_type) AS rank FROM m QUALIFY rank <= 10""",
-    "pass_dynamics": """WITH d AS (SELECT event_type, CAST(CAST(ts AS DATE) AS VARCHAR) AS day, CAST(count(*) AS DOUBLE) AS value FROM events GROUP BY ALL), l AS (SELECT *, lag(value) OVER (PARTITION BY event_type ORDER BY day) AS before FROM d)
-SELECT event_type, day, value, value - before AS delta, round((value - before) / before, 6) AS relative_delta FROM l""",
-    "runtime_rollup": """WITH w AS (SELECT l_returnflag, CAST(sum(l_quantity) AS DOUBLE) AS quantity, CAST(count(*) AS DOUBLE) AS lines, CAST(count(DISTINCT l_orderkey) AS DOUBLE) AS orders FROM lineitem GROUP BY 1)
-SELECT l_returnflag, unnest(['quantity', 'lines', 'orders', 'lines_per_order']) AS metric, round(unnest([quantity, lines, orders, lines / orders]), 6) AS value FROM w""",
-    "boundary_entropy": """WITH r AS (SELECT o_orderpriority, count(*) AS rows, count(*) FILTER (WHERE o_orderstatus = 'F') / count(*) AS p FROM orders GROUP BY 1)
-SELECT o_orderpriority, rows, round(p, 6) AS p, round(CASE WHEN p <= 0 OR p >= 1 THEN 0 ELSE -(p * ln(p) + (1 - p) * ln(1 - p)) END, 6) AS entropy FROM r""",
+    "usage_rank_summary": """WITH m AS (SELECT form_key, sum(expected_mass) AS mass FROM surface_usage WHERE form_key IS NOT NULL AND expected_mass > 0 AND NOT isnan(expected_mass) GROUP BY 1)
+SELECT form_key, mass, round(mass / sum(mass) OVER (), 6) AS share, row_number() OVER (ORDER BY mass DESC, form_key) AS rank FROM m QUALIFY rank <= 10""",
+    "pass_dynamics": """WITH d AS (SELECT CASE WHEN length(surface) > 8 THEN 'long' ELSE 'short' END AS metric, CAST(CAST(exported_at AS DATE) AS VARCHAR) AS day, sum(expected_mass) AS value FROM surface_usage
+  WHERE expected_mass IS NOT NULL AND NOT isnan(expected_mass) AND exported_at IS NOT NULL GROUP BY ALL), l AS (SELECT *, lag(value) OVER (PARTITION BY metric ORDER BY day) AS before FROM d)
+SELECT metric, day, round(value, 6) AS value, round(value - before, 6) AS delta, round((value - before) / before, 6) AS relative_delta FROM l""",
+    "runtime_rollup": f"""WITH {SEGMENTS}, w AS (SELECT CASE WHEN regexp_matches(text, '[ऀ-ॿ]') THEN 'devanagari' ELSE 'iast' END AS script, CAST(sum(length(text)) AS DOUBLE) AS c, CAST(count(*) AS DOUBLE) AS s, CAST(count(DISTINCT split_part(segment_id, ':', 1)) AS DOUBLE) AS d FROM segments WHERE text IS NOT NULL GROUP BY 1)
+SELECT script, unnest(['characters', 'segments', 'documents', 'characters_per_segment', 'segments_per_document']) AS metric, round(unnest([c, s, d, c / s, s / d]), 6) AS value FROM w""",
+    "boundary_entropy": f"""{_LEX}, e AS (SELECT substr(form_key, i, 1) AS letter, i = length(form_key) AS last, expected_count AS n FROM lexicon, unnest(generate_series(1, length(form_key))) AS u(i)),
+r AS (SELECT letter, CAST(sum(n) AS BIGINT) AS uses, coalesce(sum(n) FILTER (WHERE last), 0) / sum(n) AS p FROM e GROUP BY 1)
+SELECT letter, uses, round(p, 6) AS p, round(CASE WHEN p <= 0 OR p >= 1 THEN 0 ELSE -(p * ln(p) + (1 - p) * ln(1 - p)) END, 6) AS entropy FROM r""",
     "pair_jaccard_topk": f"""{_PAIR}, k(k) AS (VALUES (10), (100), (1000)), j AS (SELECT a.rank AS ra, b.rank AS rb FROM a FULL JOIN b USING (form_key))
 SELECT CAST(k AS BIGINT) AS k, round(count(*) FILTER (WHERE ra <= k AND rb <= k) / count(*) FILTER (WHERE ra <= k OR rb <= k), 6) AS value FROM j, k GROUP BY k""",
     "pair_l1_spearman": f"""{_PAIR}, j AS (SELECT x.share AS p, y.share AS q, x.rank AS ra, y.rank AS rb FROM (SELECT * FROM a WHERE rank <= 1000) x FULL JOIN (SELECT * FROM b WHERE rank <= 1000) y USING (form_key))
@@ -363,8 +387,8 @@ SELECT round(sum(abs(coalesce(p, 0) - coalesce(q, 0))) + abs(greatest(0, 1 - sum
     "total_variation": f"{_PAIR} SELECT round(0.5 * sum(abs(coalesce(a.share, 0) - coalesce(b.share, 0))), 6) AS value FROM a FULL JOIN b USING (form_key)",
     "jensen_shannon": f"""{_PAIR}, j AS (SELECT coalesce(a.share, 0) AS p, coalesce(b.share, 0) AS q FROM a FULL JOIN b USING (form_key))
 SELECT round(greatest(0, 0.5 * sum(CASE WHEN p > 0 THEN p * ln(p / ((p + q) / 2)) ELSE 0 END + CASE WHEN q > 0 THEN q * ln(q / ((p + q) / 2)) ELSE 0 END)), 6) AS value FROM j""",
-    "scalar_compare": """WITH c AS (SELECT o_orderpriority, CAST(count(*) FILTER (WHERE o_orderstatus = 'F') AS DOUBLE) AS a, CAST(count(*) FILTER (WHERE o_orderstatus = 'O') AS DOUBLE) AS b FROM orders WHERE o_orderstatus IN ('F', 'O') GROUP BY 1)
-SELECT o_orderpriority, a, b, b - a AS signed_difference, abs(b - a) AS absolute_difference, round((b - a) / nullif(abs(a), 0), 6) AS relative_difference, round(b / nullif(a, 0), 6) AS ratio, a = 0 AS zero_base FROM c""",
+    "scalar_compare": f"""WITH c AS (SELECT source, CAST(count(*) FILTER (WHERE layer = '{CELL_A}') AS DOUBLE) AS a, CAST(count(*) FILTER (WHERE layer = '{CELL_B}') AS DOUBLE) AS b FROM documents WHERE layer IN ('{CELL_A}', '{CELL_B}') AND source IS NOT NULL GROUP BY 1)
+SELECT source, a, b, b - a AS signed_difference, abs(b - a) AS absolute_difference, round((b - a) / nullif(abs(a), 0), 6) AS relative_difference, round(b / nullif(a, 0), 6) AS ratio, a = 0 AS zero_base FROM c""",
     "minhash_bottomk": f"""WITH {WORDS}, d AS (SELECT cell, substr(sha256(form_key), 1, 16) AS h FROM cells WHERE cell IN ('{CELL_A}', '{CELL_B}')), s AS (SELECT *, row_number() OVER (PARTITION BY cell ORDER BY h) AS r FROM (SELECT DISTINCT cell, h FROM d)),
 u AS (SELECT h, count(*) AS n FROM s WHERE r <= 2048 GROUP BY h ORDER BY h LIMIT 2048) SELECT round(count(*) FILTER (WHERE n = 2) / count(*), 6) AS value FROM u""",
     "hash_reservoir": "SELECT document_id, substr(sha256(document_id), 1, 16) AS digest FROM (SELECT DISTINCT document_id FROM canonical_manifest WHERE document_id IS NOT NULL) ORDER BY digest, document_id DESC LIMIT 12",

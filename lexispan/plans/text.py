@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 from lexispan.functions import hashing, normalize, phonology, script, spacing
 from lexispan.operators import audit, duplicates, ngrams, tokenizers
 from lexispan.operators.usage import word_rows
-from lexispan.plans.statistics import CELL_A, CELL_B, WORDS, r6, table
-from lexispan.session import spread
+from lexispan.plans.statistics import CELL_A, SEGMENTS, WORDS, r6, table, valid_segments
+from lexispan.session import cut, spread
 from lexispan.sources import build, corpus, sinks
 
 ORDER, ALPHA = 3, 0.1
@@ -95,7 +95,7 @@ def char_class_audit(spark, sf):
 
 
 def strict_validation(spark, sf):
-    return audit.strict_examples(_documents(spark, sf))
+    return audit.strict_totals(_documents(spark, sf))
 
 
 def residue_triage(spark, sf):
@@ -107,18 +107,12 @@ def duplicate_weights(spark, sf):
 
 
 def weighted_corpus(spark, sf):
-    rows = build.weighted_lines(_documents(spark, sf).where(F.col("layer").isin("epic", "poetry", "sastra")))
-    return rows.groupBy("layer").agg(F.count(F.lit(1)).alias("sentences"), F.sum(F.length("sentence")).alias("characters"))
-
-
-def weighted_corpus_layers(spark, sf):
-    """weighted_corpus over all layers, where lines of a weight below 1 are sampled; it has no SQL."""
-    rows = build.weighted_lines(_documents(spark, sf))
+    rows = build.weighted_lines(_documents(spark, sf), digest="sha256")
     return rows.groupBy("layer").agg(F.count(F.lit(1)).alias("sentences"), F.sum(F.length("sentence")).alias("characters"))
 
 
 def audit_by_file_line(spark, sf):
-    return audit.flagged_lines(_documents(spark, sf), ("digit", "western_mark", "combining"))
+    return audit.flagged_lines(_documents(spark, sf), audit.CLASSES)
 
 
 def single_letter_context(spark, sf):
@@ -134,9 +128,7 @@ def repeated_line_headers(spark, sf):
 
 
 def english_runs(spark, sf):
-    rows = word_rows(_documents(spark, sf))
-    found = audit.runs(rows, key="doc_id", pos="pos", flag=F.col("form_key").isin("the", "a", "of", "and", "that", "this", "every", "his", "her"))
-    return found.where("words >= 2")
+    return audit.english_runs(word_rows(_documents(spark, sf)), key="doc_id", pos="pos", word="form_key")
 
 
 def run_spans(spark, sf):
@@ -146,7 +138,7 @@ def run_spans(spark, sf):
 
 
 def adjacent_vowels(spark, sf):
-    rows = table(spark, sf, "encoded_segments").select(F.explode(audit.adjacent_vowels(F.col("text"))).alias("pair"))
+    rows = valid_segments(spark, sf).select(F.explode(audit.adjacent_vowels(F.col("text"))).alias("pair"))
     return rows.groupBy("pair").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -160,24 +152,24 @@ def prefix_duplicates(spark, sf):
 
 def word_overlap_duplicates(spark, sf):
     rows = _documents(spark, sf)
-    a, b = rows.where(F.col("layer") == CELL_A), rows.where(F.col("layer") == CELL_B)
+    a, b = rows.where(F.col("layer") == CELL_A), rows.where(F.col("layer").isNull() | (F.col("layer") != CELL_A))
     return r6(duplicates.word_overlap(a, b, key="doc_id", text="text", candidate_key="doc_id", candidate_text="text"))
 
 
 def split_assignment(spark, sf):
     rows = table(spark, sf, "canonical_manifest").select("document_id").where(F.col("document_id").isNotNull()).distinct()
-    return rows.select("document_id", hashing.assigned_split(F.col("document_id")).alias("split"))
+    return rows.select("document_id", hashing.assigned_split(F.col("document_id"), digest="sha256").alias("split"))
 
 
 def document_ids(spark, sf):
     rows = table(spark, sf, "canonical_manifest").where(F.col("source").isNotNull() & F.col("relative_path").isNotNull())
-    return rows.select("document_id", hashing.document_id(F.col("source"), F.col("relative_path")).alias("computed_id")).distinct()
+    return rows.select("relative_path", hashing.document_id(F.col("source"), F.col("relative_path")).alias("id")).distinct()
 
 
 def weighted_sampling(spark, sf):
     rows = corpus.lines_of(_documents(spark, sf), keep=("layer",))
     weight = phonology.layer_weight(F.coalesce("layer", F.lit("other")))
-    kept = rows.where(hashing.included(F.col("doc_id").cast("string"), F.col("line_no"), weight))
+    kept = rows.where(hashing.included(F.col("doc_id").cast("string"), F.col("line_no"), weight, digest="sha256"))
     return kept.groupBy("layer").agg(F.count(F.lit(1)).alias("lines"))
 
 
@@ -188,13 +180,13 @@ def segment_identity(spark, sf):
 
 
 def char_tokenize(spark, sf):
-    texts = table(spark, sf, "benchmark")
+    texts = _documents(spark, sf).select("doc_id", "text")
     encoded = tokenizers.build_tokenizer("character", texts=texts)(texts)
-    return encoded.select("item_id", F.size("encoding.ids").cast("long").alias("tokens"), F.array_join(F.col("encoding.ids").cast("array<string>"), " ").alias("ids"))
+    return encoded.select("doc_id", F.size("encoding.ids").cast("long").alias("tokens"), F.md5(F.array_join(F.col("encoding.ids").cast("array<string>"), " ")).alias("ids"))
 
 
 def byte_tokenize(spark, sf):
-    return table(spark, sf, "benchmark").select("item_id", F.array_join(tokenizers.byte_encoding(F.col("text"))["ids"].cast("array<string>"), " ").alias("ids"))
+    return _documents(spark, sf).select("doc_id", F.md5(F.array_join(tokenizers.byte_encoding(F.col("text"))["ids"].cast("array<string>"), " ")).alias("ids"))
 
 
 def vocab_build(spark, sf):
@@ -215,7 +207,7 @@ def grapheme_split_rate(spark, sf):
 
 
 def encoded_blocks(spark, sf):
-    rows = table(spark, sf, "encoded_segments").where(F.col("segment_id").isNotNull()).select("segment_id", "ids").distinct()
+    rows = valid_segments(spark, sf).select("segment_id", "ids")
     found = rows.select("segment_id", F.explode(tokenizers.blocks(F.col("ids"), 64)).alias("block"))
     return found.groupBy("segment_id").agg(F.count(F.lit(1)).alias("blocks"), F.sum(F.aggregate("block", F.lit(0).cast("long"), lambda a, x: a + x)).alias("id_sum"))
 
@@ -230,13 +222,13 @@ def ngram_counts(spark, sf):
 
 
 def ngram_log_prob(spark, sf):
-    counts = ngrams.ngram_counts(ngrams.ngram_rows(_documents(spark, sf), "text", ORDER))
+    counts = cut(ngrams.ngram_counts(ngrams.ngram_rows(_documents(spark, sf), "text", ORDER)))
     asked = counts.select("context", "symbol")
     return r6(ngrams.log_probabilities(asked, counts, alpha=ALPHA, size=ngrams.vocabulary_size(counts)))
 
 
 def _scores(spark, sf):
-    counts = ngrams.ngram_counts(ngrams.ngram_rows(_documents(spark, sf), "text", ORDER))
+    counts = cut(ngrams.ngram_counts(ngrams.ngram_rows(_documents(spark, sf), "text", ORDER)))
     asked = ngrams.ngram_rows(table(spark, sf, "benchmark"), "text", ORDER, keep=("item_id",))
     return ngrams.sequence_scores(ngrams.log_probabilities(asked, counts, alpha=ALPHA, size=ngrams.vocabulary_size(counts)), "item_id")
 
@@ -252,7 +244,7 @@ def bits_per_char_byte(spark, sf):
 
 QUERIES = [
     segment_scan, danda_split, comma_policy, compact_texts, continuous_iast, danda_spacing, spacing_six_way, transliterate_roundtrip, normalize_text, phonological_keys,
-    layer_classification, layer_totals, weighted_manifest, char_inventory, unknown_chars, char_class_audit, strict_validation, residue_triage, duplicate_weights, weighted_corpus, weighted_corpus_layers, audit_by_file_line, single_letter_context, line_context,
+    layer_classification, layer_totals, weighted_manifest, char_inventory, unknown_chars, char_class_audit, strict_validation, residue_triage, duplicate_weights, weighted_corpus, audit_by_file_line, single_letter_context, line_context,
     repeated_line_headers, english_runs, run_spans, adjacent_vowels, exact_duplicates, prefix_duplicates, word_overlap_duplicates, split_assignment, document_ids,
     weighted_sampling, segment_identity, char_tokenize, byte_tokenize, vocab_build, tokenizer_eval, grapheme_split_rate, encoded_blocks, vocabulary_review,
     ngram_counts, ngram_log_prob, ngram_sequence_score, bits_per_char_byte,
@@ -276,6 +268,10 @@ known AS (SELECT item_id, context, CASE WHEN raw IN (SELECT symbol FROM counts)
 scores AS (SELECT item_id, count(*) AS symbols, sum(ln((coalesce(n, 0) + 0.1) / (coalesce(cn, 0) + 0.1 * v))) AS log_score FROM known LEFT JOIN counts USING (context, symbol) LEFT JOIN contexts USING (context), v GROUP BY item_id)"""
 _VOCAB = "SELECT c AS piece, row_number() OVER (ORDER BY c) + 3 AS id FROM (SELECT DISTINCT c FROM {}) UNION ALL SELECT * FROM (VALUES ('<unk>', 0), ('<pad>', 1), ('<s>', 2), ('</s>', 3))"
 _WEIGHT = "CASE WHEN {0} = 'veda' THEN 0.8 WHEN {0} IN ('epic', 'poetry', 'sastra') THEN 1.0 ELSE 0.7 END"
+_UNIT = "(CAST(CAST('0x' || substr(sha256({0}), 1, 13) AS UBIGINT) AS DOUBLE) / 4503599627370496.0)"
+_LINE_WEIGHT = f"({_WEIGHT.format('layer')})"
+_SAMPLED = f"({_LINE_WEIGHT} >= 1 OR {_UNIT.format(chr(39) + hashing.SAMPLE_SEED + '|' + chr(39) + ' || CAST(doc_id AS VARCHAR) || ' + chr(39) + '|' + chr(39) + ' || CAST(line_no AS VARCHAR)')} < {_LINE_WEIGHT})"
+_DANDA = "[।॥]"
 _AFTER_TEXT = f"""
 SELECT doc_id, md5(regexp_replace(regexp_replace(regexp_replace(text, '{_GAP}+', '', 'g'), '([^|\\n])([|])', '\\1 \\2', 'g'), '([|])([^|\\n])', '\\1 \\2', 'g')) AS digest FROM documents WHERE text IS NOT NULL"""
 SQL = {
@@ -285,6 +281,13 @@ SELECT doc_id, count(*) AS sentences, CAST(max(length(x)) AS INTEGER) AS longest
     "comma_policy": f"SELECT doc_id, replace(regexp_replace(text, '(?m)(^|{_SPACE}),+', '\\1', 'g'), ',', '।') AS text FROM documents",
     "compact_texts": f"SELECT doc_id, CAST(length({_COMPACT}) AS INTEGER) AS chars, sha1({_COMPACT}) AS digest FROM documents WHERE text IS NOT NULL",
     "continuous_iast": _AFTER_TEXT,
+    "weighted_sampling": f"WITH {_LINES} SELECT layer, count(*) AS lines FROM lines WHERE {_SAMPLED} GROUP BY layer",
+    "split_assignment": f"""WITH u AS (SELECT DISTINCT document_id, {_UNIT.format(chr(39) + hashing.SPLIT_SEED + '|' + chr(39) + ' || document_id')} AS u FROM canonical_manifest WHERE document_id IS NOT NULL)
+SELECT document_id, CASE WHEN u < 0.8 THEN 'train' WHEN u < 0.9 THEN 'dev' ELSE 'test' END AS split FROM u""",
+    "document_ids": "SELECT DISTINCT relative_path, document_id AS id FROM canonical_manifest WHERE source IS NOT NULL AND relative_path IS NOT NULL",
+    "danda_spacing": f"""WITH a AS (SELECT doc_id, regexp_replace(text, '{_GAP}*({_DANDA})', '\\1', 'g') AS t FROM documents WHERE text IS NOT NULL),
+b AS (SELECT doc_id, regexp_replace(t, '({_DANDA}){_GAP}*([^।॥\\s\\x{{000B}}\\x{{001C}}-\\x{{001F}}\\x{{0085}}\\x{{00A0}}\\x{{1680}}\\x{{2000}}-\\x{{200A}}\\x{{2028}}\\x{{2029}}\\x{{202F}}\\x{{205F}}\\x{{3000}}])', '\\1 \\2', 'g') AS t FROM a)
+SELECT doc_id, md5(regexp_replace(t, '({_DANDA}){_GAP}*(\\n|$)', '\\1\\2', 'g')) AS digest FROM b""",
     "phonological_keys": f"""WITH k AS (SELECT DISTINCT form_key FROM surface_usage WHERE form_key IS NOT NULL), s AS (SELECT form_key, string_split(form_key, '.') AS ids FROM k)
 SELECT form_key, CAST(len(ids) AS BIGINT) AS length, array_to_string(list_transform(ids, lambda x: (MAP {{{_KEYS}}})[x]), '') AS iast, len(list_filter(ids, lambda x: starts_with(x, 'V_'))) > 0 AS has_vowel FROM s""",
     "layer_classification": """WITH l AS (SELECT DISTINCT document_id, relative_path, CASE split_part(relative_path, '/', 1) WHEN '1_veda' THEN 'veda' WHEN '2_epic' THEN 'epic' WHEN '3_purana' THEN 'purana' WHEN '4_rellit' THEN 'rellit' WHEN '5_poetry' THEN 'poetry' WHEN '6_sastra' THEN 'sastra' ELSE 'other' END AS path_layer FROM canonical_manifest WHERE relative_path IS NOT NULL)
@@ -295,51 +298,52 @@ SELECT *, CAST(""" + _WEIGHT.format("path_layer") + " AS DOUBLE) AS weight FROM
     "unknown_chars": f"WITH {_CHARS} SELECT c AS char, count(*) AS n, count(DISTINCT doc_id) AS documents, min(doc_id) AS first_document FROM chars WHERE strpos('{audit.ALPHABET.replace(chr(39), chr(39) * 2)}', c) = 0 GROUP BY c",
     "char_class_audit": f"WITH {_CHARS} SELECT {audit.CLASS_SQL} AS class, count(DISTINCT c) AS characters, count(*) AS n FROM chars GROUP BY 1",
     "strict_validation": f"""WITH {_LINES}, s AS (SELECT doc_id, line_no, string_split(line, '') AS cs FROM lines WHERE line <> ''), c AS (SELECT doc_id, line_no, i - 1 AS col, cs[i] AS char FROM s, unnest(generate_series(1, len(cs))) AS u(i))
-SELECT doc_id, CAST(line_no AS INTEGER) AS line_no, CAST(col AS INTEGER) AS "column", char FROM c WHERE strpos('{audit.ALPHABET.replace(chr(39), chr(39) * 2)}', char) = 0 ORDER BY doc_id, line_no, col LIMIT 2000""",
+SELECT doc_id, count(*) AS violations, count(DISTINCT line_no) AS lines, array_to_string(list_sort(list_distinct(list(char))), '') AS chars, CAST(min(line_no) AS INTEGER) AS first_line,
+  CAST(arg_min(col, line_no * 1000000000 + col) AS INTEGER) AS first_column FROM c WHERE strpos('{audit.ALPHABET.replace(chr(39), chr(39) * 2)}', char) = 0 GROUP BY doc_id""",
     "residue_triage": f"""WITH {_CHARS}, k AS (SELECT c, {audit.CLASS_SQL} AS class, count(*) AS n FROM chars GROUP BY ALL)
 SELECT CASE WHEN class IN ('devanagari', 'devanagari_danda', 'devanagari_digit') THEN 'script' WHEN class = 'combining' THEN 'mark' WHEN class = 'digit' THEN 'number' WHEN class IN ('space', 'danda', 'western_mark') THEN 'layout'
   WHEN class IN ('lower_ascii', 'upper_ascii', 'iast') THEN 'letter' ELSE 'noise' END AS category, count(*) AS characters, CAST(sum(n) AS BIGINT) AS n FROM k GROUP BY 1""",
     "duplicate_weights": f"""WITH c AS (SELECT doc_id, layer, text, CASE WHEN length({_COMPACT}) >= 80 THEN min(doc_id) OVER (PARTITION BY sha1({_COMPACT})) ELSE doc_id END AS first FROM documents),
 w AS (SELECT doc_id, layer, length(text) AS n, coalesce(first < doc_id, false) AS duplicate, CAST(CASE WHEN coalesce(first < doc_id, false) THEN 0 WHEN layer = 'veda' THEN 0.8 WHEN layer IN ('epic', 'poetry', 'sastra') THEN 1.0 ELSE 0.7 END AS DOUBLE) AS w FROM c)
 SELECT doc_id, layer, printf('%.3f', w) AS weight, CAST(n AS INTEGER) AS characters, CASE WHEN n IS NOT NULL THEN printf('%.1f', w * n) END AS weighted_characters, duplicate FROM w""",
-    "weighted_corpus": f"""WITH {_LINES}, t AS (SELECT layer, replace(regexp_replace(line, '(?m)(^|{_SPACE}),+', '\\1', 'g'), ',', '।') AS line FROM lines WHERE layer IN ('epic', 'poetry', 'sastra')),
+    "weighted_corpus": f"""WITH {_LINES}, t AS (SELECT layer, replace(regexp_replace(line, '(?m)(^|{_SPACE}),+', '\\1', 'g'), ',', '।') AS line FROM lines WHERE {_SAMPLED}),
 s AS (SELECT layer, regexp_replace(unnest(regexp_extract_all(line, '[^।॥]+[।॥]?')), '^{_SPACE}+|{_SPACE}+$', '', 'g') AS x FROM t)
 SELECT layer, count(*) AS sentences, CAST(sum(length(x)) AS BIGINT) AS characters FROM s WHERE x <> '' GROUP BY layer""",
     "audit_by_file_line": f"""WITH {_LINES}, ch AS (SELECT doc_id, line_no, unnest(string_split(line, '')) AS c FROM lines WHERE line <> ''), f AS (SELECT *, {audit.CLASS_SQL} AS class FROM ch)
-SELECT doc_id, CAST(line_no AS INTEGER) AS line_no, class, count(*) AS n, array_to_string(list_sort(list_distinct(list(c))), '') AS chars FROM f WHERE class IN ('digit', 'western_mark', 'combining') GROUP BY ALL""",
+SELECT doc_id, CAST(line_no AS INTEGER) AS line_no, class, count(*) AS n, array_to_string(list_sort(list_distinct(list(c))), '') AS chars FROM f GROUP BY ALL""",
     "single_letter_context": f"""WITH {WORDS}, l AS (SELECT surface AS letter, count(*) AS n, count(DISTINCT doc_id) AS documents FROM words WHERE length(surface) = 1 AND regexp_matches(surface, '^\\p{{L}}$') GROUP BY 1)
 SELECT letter, n, documents, CAST(row_number() OVER (ORDER BY n DESC, documents DESC, letter) AS INTEGER) AS rank FROM l""",
     "line_context": f"""WITH {_LINES}, n AS (SELECT doc_id, CAST(line_no AS INTEGER) AS line_no, line, lag(line) OVER w AS previous, lead(line) OVER w AS next FROM lines WINDOW w AS (PARTITION BY doc_id ORDER BY line_no))
 SELECT * FROM n WHERE length(trim(line, ' ')) <= 3""",
     "repeated_line_headers": f"WITH {_LINES}, t AS (SELECT doc_id, trim(line, ' ') AS line, line_no FROM lines) SELECT doc_id, line, count(*) AS n, CAST(min(line_no) AS INTEGER) AS first_line FROM t WHERE line <> '' AND length(line) <= 40 GROUP BY ALL HAVING count(*) >= 2",
-    "english_runs": f"""WITH {WORDS}, h AS (SELECT doc_id, pos, pos - row_number() OVER (PARTITION BY doc_id ORDER BY pos) AS island FROM words WHERE form_key IN ('the', 'a', 'of', 'and', 'that', 'this', 'every', 'his', 'her'))
-SELECT doc_id, CAST(min(pos) AS INTEGER) AS start, CAST(max(pos) AS INTEGER) AS "end", count(*) AS words FROM h GROUP BY doc_id, island HAVING count(*) >= 2""",
+    "english_runs": f"""WITH {WORDS}, h AS (SELECT doc_id, pos, form_key IN {audit.STRONG_ENGLISH} AS strong, pos - row_number() OVER (PARTITION BY doc_id ORDER BY pos) AS island FROM words WHERE form_key IN {audit.STRONG_ENGLISH + audit.WEAK_ENGLISH})
+SELECT doc_id, CAST(min(pos) AS INTEGER) AS start, CAST(max(pos) AS INTEGER) AS "end", count(*) AS words, count(*) FILTER (WHERE strong) AS strong FROM h GROUP BY doc_id, island HAVING count(*) >= 2 AND count(*) FILTER (WHERE strong) > 0""",
     "run_spans": f"""WITH {WORDS}, h AS (SELECT doc_id, pos, pos - row_number() OVER (PARTITION BY doc_id ORDER BY pos) AS island FROM words WHERE length(form_key) <= 3),
 r AS (SELECT doc_id, greatest(min(pos) - 2, 0) AS s, max(pos) + 2 AS e FROM h GROUP BY doc_id, island),
 o AS (SELECT *, CASE WHEN s > max(e) OVER (PARTITION BY doc_id ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) THEN 1 ELSE 0 END AS fresh FROM r),
 g AS (SELECT *, sum(fresh) OVER (PARTITION BY doc_id ORDER BY s, e ROWS UNBOUNDED PRECEDING) AS grp FROM o)
 SELECT doc_id, CAST(min(s) AS INTEGER) AS start, CAST(max(e) AS INTEGER) AS "end", count(*) AS spans FROM g GROUP BY doc_id, grp""",
-    "adjacent_vowels": """WITH p AS (SELECT substr(text, i, 2) AS pair FROM encoded_segments, unnest(generate_series(1, length(text) - 1)) AS u(i) WHERE text IS NOT NULL)
-SELECT pair, count(*) AS n FROM p WHERE regexp_full_match(pair, '[aāiīuūṛṝḷḹeo]{2}') AND pair NOT IN ('ai', 'au') GROUP BY pair""",
+    "adjacent_vowels": f"""WITH {SEGMENTS}, p AS (SELECT substr(text, i, 2) AS pair FROM segments, unnest(generate_series(1, length(text) - 1)) AS u(i) WHERE text IS NOT NULL)
+SELECT pair, count(*) AS n FROM p WHERE regexp_full_match(pair, '[aāiīuūṛṝḷḹeo]{{2}}') AND pair NOT IN ('ai', 'au') GROUP BY pair""",
     "exact_duplicates": f"""WITH c AS (SELECT doc_id, sha1({_COMPACT}) AS h FROM documents WHERE text IS NOT NULL AND length({_COMPACT}) >= 80), l AS (SELECT h, list_sort(list(doc_id)) AS ids FROM c GROUP BY h HAVING count(*) > 1)
 SELECT doc_id, CASE WHEN doc_id = ids[1] THEN ids[2] ELSE ids[1] END AS matched FROM c JOIN l USING (h)""",
     "prefix_duplicates": f"""WITH b AS (SELECT item_id, substr({_COMPACT}, 1, 80) AS p FROM benchmark WHERE length({_COMPACT}) >= 80), d AS (SELECT doc_id, {_COMPACT} AS t FROM documents WHERE text IS NOT NULL)
 SELECT item_id, min(doc_id) AS matched FROM b JOIN d ON contains(t, p) GROUP BY item_id""",
-    "word_overlap_duplicates": f"""WITH {WORDS}, w AS (SELECT DISTINCT doc_id, cell, form_key FROM words WHERE cell IN ('{CELL_A}', '{CELL_B}')), n AS (SELECT doc_id, cell, count(*) AS n FROM w GROUP BY ALL HAVING count(*) >= 100),
-p AS (SELECT a.doc_id AS doc_id, b.doc_id AS matched, count(*) AS shared FROM w a JOIN w b USING (form_key) WHERE a.cell = '{CELL_A}' AND b.cell = '{CELL_B}' GROUP BY ALL HAVING count(*) >= 100),
-s AS (SELECT p.doc_id, p.matched, shared / x.n AS containment, shared / (x.n + y.n - shared) AS jaccard FROM p JOIN n x ON x.doc_id = p.doc_id AND x.cell = '{CELL_A}' JOIN n y ON y.doc_id = p.matched AND y.cell = '{CELL_B}'),
+    "word_overlap_duplicates": f"""WITH {WORDS}, w AS (SELECT DISTINCT doc_id, cell, form_key FROM words), n AS (SELECT doc_id, cell, count(*) AS n FROM w GROUP BY ALL HAVING count(*) >= 100),
+p AS (SELECT a.doc_id AS doc_id, b.doc_id AS matched, count(*) AS shared FROM w a JOIN w b USING (form_key) WHERE a.cell = '{CELL_A}' AND b.cell <> '{CELL_A}' GROUP BY ALL HAVING count(*) >= 100),
+s AS (SELECT p.doc_id, p.matched, shared / x.n AS containment, shared / (x.n + y.n - shared) AS jaccard FROM p JOIN n x ON x.doc_id = p.doc_id JOIN n y ON y.doc_id = p.matched),
 r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY containment DESC, jaccard DESC, matched) AS k FROM s)
 SELECT doc_id, matched, round(containment, 6) AS containment, round(jaccard, 6) AS jaccard FROM r WHERE k = 1 AND ((containment >= 0.4 AND jaccard >= 0.2) OR (containment >= 0.7 AND jaccard >= 0.08))""",
     "segment_identity": """WITH i AS (SELECT DISTINCT split_part(segment_id, ':', 1) AS document_id, segment_id FROM encoded_segments WHERE segment_id IS NOT NULL)
 SELECT document_id, count(*) AS segments, sha256(array_to_string(list_sort(list(segment_id)), chr(10))) AS fingerprint FROM i GROUP BY 1""",
-    "char_tokenize": f"""WITH c AS (SELECT unnest(string_split(text, '')) AS c FROM benchmark WHERE text IS NOT NULL AND text <> ''), v AS ({_VOCAB.format('c')}), m AS (SELECT map(list(piece), list(id)) AS m FROM v)
-SELECT item_id, CAST(length(text) AS BIGINT) AS tokens, array_to_string(list_transform(string_split(text, ''), lambda x: CAST(m[x] AS VARCHAR)), ' ') AS ids FROM benchmark, m""",
-    "byte_tokenize": """WITH h AS (SELECT item_id, hex(encode(text)) AS h FROM benchmark) SELECT item_id, array_to_string(list_transform(generate_series(1, length(h), 2), lambda i: CAST(CAST('0x' || substr(h, i, 2) AS INTEGER) + 4 AS VARCHAR)), ' ') AS ids FROM h""",
+    "char_tokenize": f"""WITH {_CHARS}, v AS ({_VOCAB.format('chars')}), m AS (SELECT map(list(piece), list(id)) AS m FROM v)
+SELECT doc_id, CAST(length(text) AS BIGINT) AS tokens, md5(CASE WHEN text = '' THEN '' ELSE array_to_string(list_transform(string_split(text, ''), lambda x: CAST(m[x] AS VARCHAR)), ' ') END) AS ids FROM documents, m""",
+    "byte_tokenize": """WITH h AS (SELECT doc_id, hex(encode(text)) AS h FROM documents) SELECT doc_id, md5(array_to_string(list_transform(generate_series(1, length(h), 2), lambda i: CAST(CAST('0x' || substr(h, i, 2) AS INTEGER) + 4 AS VARCHAR)), ' ')) AS ids FROM h""",
     "vocab_build": f"WITH {_CHARS}, v AS ({_VOCAB.format('chars')}) SELECT piece, CAST(id AS INTEGER) AS id FROM v",
     "tokenizer_eval": f"""WITH {_CHARS}, k AS (SELECT DISTINCT unnest(string_split(text, '')) AS c FROM benchmark WHERE text IS NOT NULL AND text <> ''), t AS (SELECT count(*) AS tokens, count(DISTINCT c) AS types, count(*) FILTER (WHERE c NOT IN (SELECT c FROM k)) AS unknown FROM chars)
 SELECT (SELECT count(*) FROM documents WHERE text IS NOT NULL) AS texts, tokens, types, (SELECT CAST(sum(length(text)) AS BIGINT) FROM documents) AS characters,
   round(tokens / (SELECT sum(length(text)) FROM documents), 6) AS tokens_per_character, 1.0::DOUBLE AS mean_token_length, round(unknown / tokens, 6) AS unknown_rate FROM t""",
-    "encoded_blocks": """WITH e AS (SELECT DISTINCT segment_id, ids FROM encoded_segments WHERE segment_id IS NOT NULL), b AS (SELECT segment_id, ids[i:i + 64] AS block FROM e, unnest(generate_series(1, len(ids) - 64)) AS u(i) WHERE len(ids) > 64)
+    "encoded_blocks": f"""WITH {SEGMENTS}, e AS (SELECT segment_id, ids FROM segments), b AS (SELECT segment_id, ids[i:i + 64] AS block FROM e, unnest(generate_series(1, len(ids) - 64)) AS u(i) WHERE len(ids) > 64)
 SELECT segment_id, count(*) AS blocks, CAST(sum(list_sum(block)) AS BIGINT) AS id_sum FROM b GROUP BY 1""",
     "ngram_counts": f"WITH {_NGRAMS} SELECT context, symbol, n FROM counts",
     "ngram_log_prob": f"WITH {_NGRAMS} SELECT context, symbol, round(ln((n + 0.1) / (cn + 0.1 * v)), 6) AS log_prob FROM counts JOIN contexts USING (context), v",

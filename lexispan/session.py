@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import tempfile
+import threading
 import uuid
 import zipfile
 from pathlib import Path
@@ -43,28 +46,68 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
+_LOCK = threading.Lock()
+_WRITING: dict[str, int] = {}
+_TABLES: dict[str, list[str]] = {}
+
+
 def cut(df: DataFrame) -> DataFrame:
-    """Writes the rows once, as Parquet in the shared folder, and reads them from there: lineage ends, and the loss of an executor costs nothing."""
+    """Writes the rows once, as Parquet in the shared folder, and reads them from there: lineage ends, and the loss of an executor costs nothing.
+
+    The table stays until `drop_cut`, `release` or the end of the driver's process.
+    """
     spark = df.sparkSession
+    application = spark.sparkContext.applicationId
     path = f"{shared_folder(spark)}/lexispan-{uuid.uuid4().hex}"
-    before = spark.conf.get(_CLEANUP, None)
-    spark.conf.set(_CLEANUP, "true")  # the shuffles of this write aren't needed once the table is there
+    with _LOCK:  # writes at the same time share the setting; the last one to end takes it back
+        _TABLES.setdefault(application, []).append(path)
+        _WRITING[application] = _WRITING.get(application, 0) + 1
+        if _WRITING[application] == 1:
+            _BEFORE[application] = spark.conf.get(_CLEANUP, None)
+            spark.conf.set(_CLEANUP, "true")  # the shuffles of this write aren't needed once the table is there
     try:
         df.write.mode("errorifexists").option("compression", "zstd").parquet(path)
     finally:
-        spark.conf.unset(_CLEANUP) if before is None else spark.conf.set(_CLEANUP, before)
+        with _LOCK:
+            _WRITING[application] -= 1
+            if not _WRITING[application]:
+                before = _BEFORE.pop(application)
+                spark.conf.unset(_CLEANUP) if before is None else spark.conf.set(_CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
+_BEFORE: dict[str, str | None] = {}
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def drop_cut(df: DataFrame) -> None:
     """Deletes what cut() wrote for this frame; for loops that no longer need an earlier round."""
-    spark = df.sparkSession
-    jvm = spark.sparkContext._jvm
+    known = _TABLES.get(df.sparkSession.sparkContext.applicationId, [])
     for name in df.inputFiles():
-        folder = jvm.org.apache.hadoop.fs.Path(name).getParent()
-        if folder.getName().startswith("lexispan-"):
-            folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
-            return
+        parent = name.rsplit("/", 1)[0]
+        for path in known:
+            if parent.rsplit("/", 1)[-1] == path.rsplit("/", 1)[-1]:
+                known.remove(path)
+                _delete(df.sparkSession, path)
+                return
+
+
+def release(spark: SparkSession) -> None:
+    """Deletes all that cut() wrote for this application; frames that read from there can't be used any more."""
+    for path in _TABLES.pop(spark.sparkContext.applicationId, []):
+        _delete(spark, path)
+
+
+@atexit.register
+def _release_at_exit() -> None:
+    spark = SparkSession.getActiveSession()
+    if spark is not None and spark.sparkContext._jsc is not None:
+        with contextlib.suppress(Exception):  # the JVM may be gone; then the folder is its owner's to clear
+            release(spark)
 
 
 def spread(df: DataFrame) -> DataFrame:

@@ -80,8 +80,8 @@ def weighted_manifest(documents: DataFrame, *, key: str = "doc_id", text: str =
     return rows.select(key, layer, F.format_string("%.3f", weight).alias("weight"), chars.alias("characters"), F.when(chars.isNotNull(), F.format_string("%.1f", weight * chars)).alias("weighted_characters"), doubled.alias("duplicate"))
 
 
-def weighted_lines(documents: DataFrame, *, path: str = "doc_id", text: str = "text", layer: str = "layer") -> DataFrame:
+def weighted_lines(documents: DataFrame, *, path: str = "doc_id", text: str = "text", layer: str = "layer", digest: str = "blake2b") -> DataFrame:
     """(path, layer, line_no, sentence): sampled lines after the comma policy, cut at dandas."""
     lines = corpus.lines_of(documents, key=path, text=text, keep=(layer,))
-    kept = lines.where(hashing.included(F.col(path).cast("string"), F.col("line_no"), phonology.layer_weight(F.coalesce(layer, F.lit("other")))))
+    kept = lines.where(hashing.included(F.col(path).cast("string"), F.col("line_no"), phonology.layer_weight(F.coalesce(layer, F.lit("other"))), digest=digest))
     return kept.select(path, layer, "line_no", F.explode(spacing.split_on_danda(spacing.commas_to_danda(F.col("line")))).alias("sentence"))

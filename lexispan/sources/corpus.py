@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from lexispan.session import cut
+
 BLANK = r"(?U)^\s*$"
 
 
@@ -62,16 +64,20 @@ def resolved_source(manifest: DataFrame, present: DataFrame) -> DataFrame:
 
 
 def parse_whitelist(lines: DataFrame) -> DataFrame:
-    """(relative_path, problem) of a list with # comments: a path must be relative, forward-slashed, end in .htm, have no .. and occur once."""
-    path = F.trim(F.regexp_replace("value", r"#.*$", ""))
-    rows = lines.select(path.alias("relative_path")).where("relative_path <> ''")
+    """(relative_path, problem) of a list whose lines with a leading # are comments: a path must be relative, have no .., end in .htm in any case, and occur once with either slash.
+
+    A list without any path has one row, without a path.
+    """
+    path = F.regexp_replace(F.translate(F.trim("value"), "\\", "/"), r"(?<=/)\./|^\./|/(?=/)", "")
+    rows = lines.select(path.alias("relative_path")).where("relative_path <> '' and relative_path not like '#%'")
     counted = rows.groupBy("relative_path").agg(F.count(F.lit(1)).alias("n"))
     p = F.col("relative_path")
     problem = (
-        F.when(p.startswith("/"), "absolute").when(p.rlike(r"^[A-Za-z]:"), "drive").when(p.contains("\\"), "backslash")
-        .when(p.rlike(r"(^|/)\.\.(/|$)"), "parent").when(~p.endswith(".htm"), "suffix").when(F.col("n") > 1, "duplicate")
+        F.when(p.startswith("/"), "absolute").when(p.rlike(r"^[A-Za-z]:"), "drive")
+        .when(p.rlike(r"(^|/)\.\.(/|$)"), "parent").when(~p.rlike(r"(?i)[^/]\.htm$"), "suffix").when(F.col("n") > 1, "duplicate")
     )
-    return counted.select("relative_path", problem.alias("problem"))
+    none = counted.agg(F.count(F.lit(1)).alias("n")).where("n = 0").select(F.lit(None).cast("string").alias("relative_path"), F.lit("empty").alias("problem"))
+    return counted.select("relative_path", problem.alias("problem")).unionByName(none)
 
 
 def missing_sources(whitelist: DataFrame, files: DataFrame) -> DataFrame:
@@ -176,8 +182,14 @@ def read_jsonl(spark: SparkSession, path: str, schema: str, *, key: str, limit:
 
 
 def not_increasing(rows: DataFrame, key: str, order: str) -> DataFrame:
-    """Rows whose key isn't greater than the one before in the given order."""
-    return rows.withColumn("_before", F.lag(key).over(Window.orderBy(order))).where(F.col("_before") >= F.col(key)).drop("_before")
+    """Rows whose key isn't greater than the one before in the given (unique) order; no task holds more than a range of the rows."""
+    parted = cut(rows.repartitionByRange(order).withColumn("_part", F.spark_partition_id()))
+    edges = parted.groupBy("_part").agg(F.max_by(key, order).alias("_last"))
+    edges = edges.select("_part", F.lag("_last").over(Window.orderBy("_part")).alias("_edge"))  # one row for each range
+    within = F.lag(F.struct(key)).over(Window.partitionBy("_part").orderBy(order))
+    seen = parted.withColumn("_before", within).join(F.broadcast(edges), "_part")
+    before = F.when(F.col("_before").isNull(), F.col("_edge")).otherwise(F.col(f"_before.{key}"))
+    return seen.where(before >= F.col(key)).drop("_before", "_edge", "_part")
 
 
 def read_metrics(spark: SparkSession, root: str) -> DataFrame:

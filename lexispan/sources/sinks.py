@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lexispan.functions import script as scripts
 from lexispan.functions import spacing
+from lexispan.operators.ranking import ranked
+from lexispan.session import cut
 
+#: Entries that one hash of a corpus hash covers.
+HASHED = 10_000
 RESULT_COLUMNS = (
     "run_id", "script", "spacing", "tokenizer", "vocab_size", "model", "seed", "split", "segments", "characters", "bytes", "tokens", "bits_per_char",
     "bits_per_byte", "grapheme_split_rate",
@@ -42,8 +48,7 @@ def write_representations(documents: DataFrame, path: str, **options) -> DataFra
 def freeze(documents: DataFrame, path: str, *, path_column: str, text: str, gate: DataFrame | None = None) -> str:
     """Writes a corpus once and returns its hash, over paths and texts in path order, both with their lengths.
 
-    `gate` holds the violations found before; any of them stops the freeze.  The
-    hash is folded over per-text hashes, which stream to the driver in order.
+    `gate` holds the violations found before; any of them stops the freeze.
     """
     if gate is not None and gate.limit(1).count():
         raise ValueError("the corpus doesn't pass its gate")
@@ -54,15 +59,18 @@ def freeze(documents: DataFrame, path: str, *, path_column: str, text: str, gate
 
 
 def corpus_hash(documents: DataFrame, *, path_column: str, text: str) -> str:
-    """SHA-256 over (length and path, length and hash of the text) in path order."""
-    import hashlib
-
-    rows = documents.select(path_column, F.octet_length(text).alias("n"), F.sha2(text, 256).alias("h")).orderBy(path_column)
-    whole = hashlib.sha256()
-    for path, n, digest in rows.toLocalIterator():
-        name = path.encode("utf-8")
-        whole.update(len(name).to_bytes(8, "big") + name + (n or 0).to_bytes(8, "big") + (digest or "").encode())
-    return whole.hexdigest()
+    """SHA-256 over (length and path, length and hash of the text) in path order, as a tree: each hash covers the next `HASHED` of the level below."""
+    entry = F.concat_ws(":", F.octet_length(path_column), path_column, F.coalesce(F.octet_length(text), F.lit(-1)), F.coalesce(F.sha2(text, 256), F.lit("")))
+    level = ranked(documents.select(F.col(path_column).alias("path"), entry.alias("h")), [F.col("path")]).select("rank", "h")
+    n = level.count()
+    while True:
+        block = F.floor((F.col("rank") - 1) / HASHED) + 1
+        inner = F.transform(F.array_sort(F.collect_list(F.struct("rank", "h"))), lambda x: x["h"])  # at most HASHED rows
+        level = cut(level.groupBy(block.alias("rank")).agg(F.sha2(F.array_join(inner, "\n"), 256).alias("h")))
+        n = -(-n // HASHED)
+        if n <= 1:
+            row = level.first()
+            return row["h"] if row else hashlib.sha256(b"").hexdigest()
 
 
 def write_tsv(df: DataFrame, path: str, *, gzip: bool = False) -> None:

@@ -9,7 +9,6 @@ import pytest
 from lexispan.plans import catalogue
 
 QUERIES, SQL = catalogue.queries(), catalogue.oracle_sql()
-SLOW = {"latent_inspection", "latent_rule_usage", "latent_boundaries"}
 
 
 @pytest.fixture(scope="module")
@@ -26,12 +25,12 @@ def rows(columns, data):
     return sorted((tuple(plain(r[i]) for i in order) for r in data), key=lambda r: tuple((v is not None, str(v)) for v in r))
 
 
-@pytest.mark.parametrize("name", [n for n in QUERIES if n not in SLOW])
+@pytest.mark.parametrize("name", list(QUERIES))
 def test_query(spark, sf, connection, name):
     df = QUERIES[name](spark, sf)
     got = rows(df.columns, [tuple(r) for r in df.collect()])
     if name not in SQL:
-        assert got or name in ("rule_validation",)
+        assert got or name == "pluta_cleaning"  # these tables have no prolated vowels; the vectors are in test_cleaning
         return
     found = connection.sql(SQL[name])
     want = rows(found.columns, found.fetchall())

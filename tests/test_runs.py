@@ -52,9 +52,12 @@ def test_writers_and_readers(spark, tmp_path):
         sinks.freeze(docs, f"{tmp_path}/f3", path_column="path", text="text", gate=docs)
     assert [(r.line_no, r.text) for r in corpus.segments(docs, key="path").where("path = 'b.txt'").orderBy("line_no").collect()] == [(1, "y"), (2, "z")]
     assert corpus.html_body("<head>x</head>a<hr>b<hr>c<p>d<td>e") == "c\nd e" and corpus.html_body("a<hr>b") == "b" and corpus.html_body("a<style>q</style>") == "a"
-    lines = spark.createDataFrame([("# c",), ("a/b.htm",), ("/x.htm",), ("a/../b.htm",), ("c.txt",), ("d.htm # note",), ("d.htm",), ("C:x.htm",)], "value string")
+    lines = spark.createDataFrame([("# c",), ("a/b.htm",), ("/x.htm",), ("a/../b.htm",), ("c.txt",), ("d\\e.HTM",), ("d/e.HTM",), ("f.htm # note",), ("C:x.htm",)], "value string")
     problems = {r.relative_path: r.problem for r in corpus.parse_whitelist(lines).collect()}
-    assert problems == {"a/b.htm": None, "/x.htm": "absolute", "a/../b.htm": "parent", "c.txt": "suffix", "d.htm": "duplicate", "C:x.htm": "drive"}
+    assert problems == {"a/b.htm": None, "/x.htm": "absolute", "a/../b.htm": "parent", "c.txt": "suffix", "d/e.HTM": "duplicate", "f.htm # note": "suffix", "C:x.htm": "drive"}
+    assert [tuple(r) for r in corpus.parse_whitelist(lines.where("value = '# c'")).collect()] == [(None, "empty")]
+    steps = spark.createDataFrame([(i, i if i not in (7, 40) else 3) for i in range(90)], "n int, k int")
+    assert {r.n for r in corpus.not_increasing(steps, "k", "n").collect()} == {7, 40}
     texts = spark.createDataFrame([("d1", "tat tvam asi", "iast")], "document_id string, text string, script string")
     manifest = sinks.write_representations(texts, f"{tmp_path}/r")
     assert manifest.count() == 6 and manifest.where("script = 'iast' and condition = 'continuous'").first().char_count == 10
@@ -82,18 +85,18 @@ def test_build(spark, tmp_path):
     assert build.weighted_lines(docs.where("layer = 'epic'")).count() == 1
 
 
-def test_weighted_corpus_layers_has_every_layer(spark, tmp_path):
+def test_weighted_corpus_has_every_layer(spark, tmp_path):
     from lexispan.functions.hashing import included
     from lexispan.plans import catalogue
 
     layers = ["epic", "poetry", "sastra", "veda", "purana", "rellit", None]
     docs = spark.createDataFrame([(i, "\n".join(f"x{k} y" for k in range(200)), x, "s") for i, x in enumerate(layers)], "doc_id long, text string, layer string, source string")
     docs.write.parquet(f"{tmp_path}/documents.parquet")
-    got = {r.layer: r.sentences for r in catalogue.queries()["weighted_corpus_layers"](spark, str(tmp_path)).collect()}
+    got = {r.layer: r.sentences for r in catalogue.queries()["weighted_corpus"](spark, str(tmp_path)).collect()}
     assert set(got) == set(layers) and got["epic"] == got["poetry"] == got["sastra"] == 200
     numbers = build_lines(docs)
     for i, (layer, weight) in enumerate(zip(layers[3:], (0.8, 0.7, 0.7, 0.7), strict=True), 3):
-        kept = numbers.where(F.col("doc_id") == i).where(included(F.col("doc_id").cast("string"), F.col("line_no"), F.lit(weight))).count()
+        kept = numbers.where(F.col("doc_id") == i).where(included(F.col("doc_id").cast("string"), F.col("line_no"), F.lit(weight), digest="sha256")).count()
         assert got[layer] == kept and abs(kept / 200 - weight) < 0.12
 
 
