@@ -174,4 +174,15 @@ SELECT rule_id, round(sum(mass) + 1e-9, 6) AS expected_usage FROM r GROUP BY rul
 SELECT cue AS cue_kind, CAST(sum(times) AS BIGINT) AS boundaries, round(sum(p * times) + 1e-9, 6) AS expected, CAST(sum(times) FILTER (WHERE p >= 0.9) AS BIGINT) AS confident FROM b JOIN times USING (sid) GROUP BY cue""",
     "latent_pass_metrics": f"""WITH RECURSIVE {INSPECTED} SELECT count(*) AS segments, round(sum(log_partition) + 1e-9, 6) AS log_partition, round(sum(expected_tokens) + 1e-9, 6) AS expected_tokens, CAST(sum(arcs) AS BIGINT) AS arcs,
   round(avg(identity_mass) + 1e-9, 6) AS mean_identity_mass, round(avg(entropy) + 1e-9, 6) AS mean_entropy, CAST(0 AS BIGINT) AS overflowed FROM line_segments JOIN per_segment USING (sid)""",
+    "latent_segment_export": f"""WITH RECURSIVE {INSPECTED} SELECT segment_id AS key, CAST(segment_no AS INTEGER) AS segment_no, g.n AS tokens, {", ".join(_R.format(c) for c in ("top_probability", "identity_mass", "entropy"))}, round(1 - identity_mass + 1e-9, 6) AS latent_mass
+FROM line_segments JOIN per_segment USING (sid) JOIN graph_segments g USING (sid)""",
+    "latent_scalars": f"""WITH RECURSIVE {INSPECTED} SELECT count(*) AS segments, count(DISTINCT segment_id) AS lines, round(sum(expected_tokens) + 1e-9, 6) AS expected_tokens, round(sum(log_partition) + 1e-9, 6) AS log_partition, round(avg(identity_mass) + 1e-9, 6) AS mean_identity_mass,
+  round(avg(entropy) + 1e-9, 6) AS mean_entropy, (SELECT count(*) FROM vocabulary) AS forms, (SELECT round(sum(n) + 1e-9, 6) FROM vocabulary) AS mass, (SELECT count(*) FILTER (WHERE n > 0) FROM vocabulary) AS active_forms FROM line_segments JOIN per_segment USING (sid)""",
 }
+
+
+def strata(cell: str, tokens: list[float], entropy: list[float]) -> str:
+    """SQL of archive.segment_strata over the inspected segments, by an expression of segment_id."""
+    case = lambda c, edges: "CASE " + " ".join(f"WHEN {c} <= {e} THEN {k}" for k, e in enumerate(edges)) + f" ELSE {len(edges)} END"
+    return f"""WITH RECURSIVE {INSPECTED} SELECT {cell} AS cell, CAST({case("g.n", tokens)} AS INTEGER) AS token_stratum, CAST({case("entropy", entropy)} AS INTEGER) AS entropy_stratum, count(*) AS segments,
+  round(sum(identity_mass) + 1e-9, 6) AS identity_mass, round(sum(expected_tokens) + 1e-9, 6) AS expected_tokens FROM line_segments JOIN per_segment USING (sid) JOIN graph_segments g USING (sid) GROUP BY ALL"""

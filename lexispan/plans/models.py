@@ -7,7 +7,7 @@ from functools import lru_cache
 from pyspark.sql import functions as F
 
 from lexispan.functions import script
-from lexispan.operators import cleaning, comparison, lattice, latent, rules
+from lexispan.operators import archive, cleaning, comparison, lattice, latent, rules
 from lexispan.operators.usage import words_of
 from lexispan.functions.phonology import LONGEST_FIRST
 from lexispan.plans.statistics import CELL_A, CELL_B, SEGMENTS, r6, table, valid_segments
@@ -164,6 +164,42 @@ def latent_pass_metrics(spark, sf):
     return _off_ties(latent.pass_metrics(_inspected(spark, sf)[0]))
 
 
+TOKEN_EDGES, ENTROPY_EDGES = [1.0, 3.0, 6.0, 12.0], [0.1, 1.0, 5.0, 15.0]
+
+
+def latent_strata(spark, sf):
+    return _off_ties(archive.segment_strata(_inspected(spark, sf)[0], tokens=TOKEN_EDGES, entropy=ENTROPY_EDGES))
+
+
+def latent_document_strata(spark, sf):
+    return _off_ties(archive.segment_strata(_inspected(spark, sf)[0], tokens=TOKEN_EDGES, entropy=ENTROPY_EDGES, by=F.substring_index("key", ":", 1)))
+
+
+def latent_scalars(spark, sf):
+    seen, lexicon = _inspected(spark, sf)
+    return _off_ties(archive.cell_scalars(seen, lexicon).select("segments", "lines", "expected_tokens", "log_partition", "mean_identity_mass", "mean_entropy", "forms", "mass", "active_forms"))
+
+
+def latent_segment_export(spark, sf):
+    return _off_ties(archive.segment_export(_inspected(spark, sf)[0]).select("key", "segment_no", F.col("tokens").cast("long").alias("tokens"), "top_probability", "identity_mass", "latent_mass", "entropy"))
+
+
+def designated_differences(spark, sf):
+    return archive.designated_differences(formal_comparison_unpivot(spark, sf), pair=["cell_a", "cell_b"], field=["script", "field"], difference="signed_difference", k=4).select("cell_a", "cell_b", "script", "field", "signed_difference", "rank")
+
+
+RESIDUE = {"number": "[0-9०-९]+", "bracket": r"[\[\](){}<>]", "western_mark": "[,;:!?]+", "combining": "[\u0300-\u036f]+"}
+
+
+def residual_hits(spark, sf):
+    return archive.residual_hits(table(spark, sf, "documents"), RESIDUE)
+
+
+def residual_partition(spark, sf):
+    documents = table(spark, sf, "documents")
+    return archive.partitioned_files(documents, archive.residual_hits(documents, RESIDUE))
+
+
 def vocab_freeze_project(spark, sf):
     counts = table(spark, sf, "surface_usage").where(F.col("form_key").isNotNull() & (F.col("expected_mass") > 0) & ~F.isnan("expected_mass"))
     frozen, _ = latent.freeze_vocabulary(counts.groupBy("form_key").agg(F.sum("expected_mass").alias("expected_count")), 550)
@@ -246,9 +282,10 @@ def html_extract(spark, sf):
 
 
 def missing_sources(spark, sf):
-    """Documents of the manifest for which no one-letter report names a file as it is written there."""
-    listed = table(spark, sf, "canonical_manifest").where(F.col("canonical_path").isNotNull()).select(F.col("canonical_path").alias("relative_path")).distinct()
-    seen = table(spark, sf, "pre_m0_single_letter_by_file").where(F.col("file").isNotNull()).select(F.col("file").alias("relative_path")).distinct()
+    """Canonical files of the manifest for which no report counts any letter over fifty times."""
+    below = F.regexp_replace("canonical_path", "^data/canonical/[^/]*/", "")
+    listed = table(spark, sf, "canonical_manifest").where(F.col("canonical_path").isNotNull()).select(below.alias("relative_path")).distinct()
+    seen = table(spark, sf, "pre_m0_single_letter_by_file").where(F.col("file").isNotNull() & (F.col("count") > 50)).select(F.col("file").alias("relative_path")).distinct()
     return corpus.missing_sources(listed, seen)
 
 
@@ -289,7 +326,7 @@ def positional_zip(spark, sf):
 
 QUERIES = [
     rule_validation, rule_boundary_join, rule_pair_lookup, rule_surface_matches, inverse_pairs, lattice_edges, lattice_forward, ngram_em_iteration, ngram_em,
-    latent_segments, latent_training_pass, latent_em, latent_inspection, latent_rule_usage, latent_boundaries, latent_pass_metrics, vocab_freeze_project, lattice_viterbi,
+    latent_segments, latent_training_pass, latent_em, latent_inspection, latent_rule_usage, latent_boundaries, latent_pass_metrics, vocab_freeze_project, lattice_viterbi, latent_strata, latent_document_strata, latent_scalars, latent_segment_export, designated_differences, residual_hits, residual_partition,
     canonical_cleaning, mechanical_cleaning, editorial_changes, hyphen_cleaning, separator_cleaning, pluta_cleaning, hyphen_inventory, pluta_free_documents, lateral_cleaning, mechanical_closure, closed_alphabet, structure_lines, keep_list_deletion, html_extract, missing_sources, membership_gate,
     formal_comparison_unpivot, typed_na_aggregation, merge_join_examples, positional_zip,
 ]
@@ -332,7 +369,7 @@ SELECT t AS surface_text, ways[-1] AS paths, round(ln(mass[-1]), 6) AS log_parti
 k AS (SELECT form_key, n FROM c WHERE contains(form_key, '.') ORDER BY n DESC, form_key LIMIT 500), p AS (SELECT unnest(string_split(form_key, '.')) AS form_key, n FROM c WHERE form_key NOT IN (SELECT form_key FROM k)),
 b(form_key) AS (VALUES """ + ", ".join(f"('{x}')" for x in latent.PHONEMES) + """)
 SELECT form_key, n AS expected_count FROM k UNION ALL SELECT b.form_key, coalesce(sum(p.n), 0) FROM b LEFT JOIN p USING (form_key) GROUP BY 1""",
-    "missing_sources": "SELECT DISTINCT canonical_path AS relative_path FROM canonical_manifest WHERE canonical_path IS NOT NULL AND canonical_path NOT IN (SELECT file FROM pre_m0_single_letter_by_file WHERE file IS NOT NULL)",
+    "missing_sources": "SELECT * FROM (SELECT DISTINCT regexp_replace(canonical_path, '^data/canonical/[^/]*/', '') AS relative_path FROM canonical_manifest WHERE canonical_path IS NOT NULL) WHERE relative_path NOT IN (SELECT file FROM pre_m0_single_letter_by_file WHERE file IS NOT NULL AND count > 50)",
     "lateral_cleaning": f"""WITH a AS (SELECT doc_id, text, regexp_replace(text, '([{_LATERAL}])ḷ', '\\1ḍ', 'g') AS t FROM documents WHERE text IS NOT NULL), b AS (SELECT *, regexp_replace(t, 'ḷ(h?[{_LATERAL}])', 'ḍ\\1', 'g') AS u FROM a),
 c AS (SELECT *, len(regexp_extract_all(text, '[{_LATERAL}]ḷ')) + len(regexp_extract_all(t, 'ḷh?[{_LATERAL}]')) AS n, len(regexp_extract_all(text, '[{_LATERAL}]ḷh')) + len(regexp_extract_all(t, 'ḷh[{_LATERAL}]')) AS h FROM b)
 SELECT doc_id, md5(u) AS digest, CAST(n - h AS BIGINT) AS l_to_d, CAST(h AS BIGINT) AS lh_to_dh FROM c""",
@@ -361,4 +398,13 @@ w AS (SELECT form_key, count(*) AS rows FROM surface_usage WHERE form_key IS NOT
 b AS (SELECT source, doc_id AS doc_b, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS position, count(*) OVER (PARTITION BY source) AS n FROM documents WHERE layer = '{CELL_B}')
 SELECT source, CAST(position AS INTEGER) AS position, doc_a, doc_b FROM a JOIN b USING (source, position, n)""",
 }
+_HITS = f"""WITH {_LINES}, h AS (""" + " UNION ALL ".join(
+    f"SELECT doc_id, line_no, '{name}' AS class, regexp_extract_all(line, {_q(pattern)}) AS h, list_transform(regexp_split_to_array(line, {_q(pattern)}), lambda x: length(x)) AS p FROM lines WHERE regexp_matches(line, {_q(pattern)})" for name, pattern in RESIDUE.items()
+) + """), hits AS (SELECT doc_id, CAST(line_no AS INTEGER) AS line_no, CAST(1 + list_sum(p[1:i]) + coalesce(list_sum(list_transform(h[1:i - 1], lambda x: length(x))), 0) AS INTEGER) AS "column", class, h[i] AS hit FROM h, unnest(generate_series(1, len(h))) AS u(i))"""
+SQL["residual_hits"] = f'{_HITS} SELECT doc_id, line_no, "column", class, hit FROM hits'
+SQL["residual_partition"] = f"{_HITS}, c AS (SELECT doc_id, count(*) AS n FROM hits GROUP BY 1) SELECT DISTINCT d.doc_id, n IS NOT NULL AS flagged, coalesce(n, 0) AS hits FROM documents d LEFT JOIN c USING (doc_id)"
+SQL["designated_differences"] = f"""SELECT cell_a, cell_b, script, field, signed_difference, CAST(rank AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY cell_a, cell_b ORDER BY abs(signed_difference) DESC, script, field) AS rank
+FROM ({SQL['formal_comparison_unpivot']}) WHERE signed_difference IS NOT NULL) WHERE rank <= 4"""
 SQL |= latent_sql.SQL
+SQL["latent_strata"] = latent_sql.strata("'all'", TOKEN_EDGES, ENTROPY_EDGES)
+SQL["latent_document_strata"] = latent_sql.strata("split_part(segment_id, ':', 1)", TOKEN_EDGES, ENTROPY_EDGES)

@@ -195,3 +195,12 @@ def not_increasing(rows: DataFrame, key: str, order: str) -> DataFrame:
 def read_metrics(spark: SparkSession, root: str) -> DataFrame:
     """All metrics.json one folder below the root, with the file each row came from, by file."""
     return spark.read.json(f"{root}/*/metrics.json", multiLine=True).withColumn("file", F.input_file_name()).orderBy("file")
+
+
+def subset(manifest: DataFrame, listed: DataFrame, *, key: str = "relative_path") -> DataFrame:
+    """The manifest's rows of a benchmark list (value, one path a line, # comments), in the list's order; raises on a path that is missing."""
+    names = listed.where("trim(value) <> '' and trim(value) not like '#%'").select(F.trim("value").alias(key), F.monotonically_increasing_id().alias("_at"))
+    gone = names.join(manifest, key, "left_anti").limit(1).collect()
+    if gone:
+        raise ValueError(f"not in the manifest: {gone[0][key]}")
+    return manifest.join(F.broadcast(names), key).orderBy("_at").drop("_at")  # a benchmark list is short

@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import hashlib
+import json
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexispan.functions import script as scripts
@@ -103,3 +104,88 @@ def write_results(df: DataFrame, path: str) -> None:
         rows.option("header", True).csv(path)
     else:
         raise ValueError("a result table is json or csv by its suffix")
+
+
+def fingerprint(value: object) -> str:
+    """SHA-256 of a value of plain dictionaries, lists, strings and numbers, written in one canonical way."""
+    return hashlib.sha256(json.dumps(value, ensure_ascii=False, sort_keys=True, separators=(",", ":")).encode("utf-8")).hexdigest()
+
+
+def data_fingerprint(manifest: DataFrame, *, key: str = "document_id", digest: str = "canonical_hash", **more: object) -> str:
+    """The fingerprint of a manifest's documents and their hashes, in key order, and of what else decides a run (representation, seed, limits)."""
+    rows = manifest.select(F.col(key).alias("path"), F.concat_ws(":", key, F.coalesce(digest, F.lit(""))).alias("text"))
+    return fingerprint({"documents": corpus_hash(rows, path_column="path", text="text"), **more})
+
+
+def write_or_verify(df: DataFrame, path: str, *, order: list[str]) -> bool:
+    """Writes a table once; if there is one at the path it must hold the same rows, else this raises.  True if it was written."""
+    from lexispan.operators.run import exists
+
+    rows = df.orderBy(*order)
+    if not exists(df.sparkSession, f"{path}/_SUCCESS"):
+        write_table(rows, path)
+        return True
+    there = df.sparkSession.read.schema(df.schema).parquet(path)
+    if not there.exceptAll(df).unionAll(df.exceptAll(there)).isEmpty():
+        raise ValueError(f"{path} holds other rows")
+    return False
+
+
+def write_vocabulary(vocabulary: DataFrame, path: str) -> None:
+    """A vocabulary (form_key, expected_count) as TSV and as JSON lines, in key order; files that are there must be the same."""
+    rows = vocabulary.select("form_key", "expected_count").orderBy("form_key")
+    write_or_verify(rows.select(F.concat_ws("\t", "form_key", F.col("expected_count").cast("string")).alias("value")), f"{path}/vocabulary_tsv", order=["value"])
+    write_or_verify(rows.select(F.to_json(F.struct("form_key", "expected_count")).alias("value")), f"{path}/vocabulary_json", order=["value"])
+
+
+def key_ordered(df: DataFrame, required: dict[str, str], key: list[str]) -> DataFrame:
+    """The required columns in key order; raises if one is missing or of another type."""
+    wrong = [c for c, kind in required.items() if dict(df.dtypes).get(c) != kind]
+    if wrong:
+        raise ValueError(f"missing or of another type: {', '.join(wrong)}")
+    return df.select(*required).orderBy(*key)
+
+
+STATE = {
+    "final_scorer": ({"form_key": "string", "expected_count": "double"}, ["form_key"], "expected_count"),
+    "surface_usage": ({"form_key": "string", "surface": "string", "expected_mass": "double"}, ["form_key", "surface"], "expected_mass"),
+    "context_usage": ({"form_key": "string", "context": "string", "expected_mass": "double"}, ["form_key", "context"], "expected_mass"),
+}
+
+
+def write_state(tables: dict[str, DataFrame], path: str) -> dict[str, tuple[int, float]]:
+    """What a learner has learned: three tables in key order as checked gzip TSV, with the SHA-256 of each file beside them; rows and summed mass of each."""
+    spark = next(iter(tables.values())).sparkSession
+    found = {name: write_verified(key_ordered(tables[name], required, key), f"{path}/{name}", mass=mass) for name, (required, key, mass) in STATE.items()}
+    sums = file_sums(spark, path)
+    sums.coalesce(1).write.mode("errorifexists").text(f"{path}/SHA256SUMS")
+    return found
+
+
+def file_sums(spark: SparkSession, path: str) -> DataFrame:
+    """(value): digest and name of every data file below a path, in order of the names."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "part-*").load(path)
+    name = F.regexp_replace("path", r"^.*/([^/]+/[^/]+)$", "$1")
+    return files.select(F.concat_ws("  ", F.sha2("content", 256), name).alias("value")).orderBy(F.substr("value", F.lit(67)))
+
+
+def unchanged(spark: SparkSession, path: str) -> bool:
+    """Whether all files below a path still have the digests that were written beside them."""
+    return file_sums(spark, path).where(~F.col("value").contains("SHA256SUMS/")).exceptAll(spark.read.text(f"{path}/SHA256SUMS")).isEmpty()
+
+
+def write_injective(documents: DataFrame, path: str, *, text: str = "text", script: str = "script") -> None:
+    """Documents in the injective script, once; Devanagari that it has no letter for stops the write."""
+    source = F.when(F.col(script) == "devanagari", F.col(text)).otherwise(scripts.to_devanagari(text))
+    write_table(documents.withColumn(text, scripts.to_injective(source)).withColumn(script, F.lit("iast_injective")), path)
+
+
+def write_bundle(spark: SparkSession, path: str, *, config: dict, metrics: dict, fingerprints: dict[str, str], predictions: DataFrame | None = None, logs: list[str] = ()) -> str:
+    """What a run leaves: configuration, metrics, fingerprints, logs and predictions under a folder of its own, named by the configuration's fingerprint."""
+    folder = f"{path}/{fingerprint(config)[:16]}"
+    for name, value in (("config", config), ("metrics", metrics), ("fingerprints", fingerprints)):
+        spark.createDataFrame([(json.dumps(value, ensure_ascii=False, sort_keys=True),)], "value string").coalesce(1).write.mode("errorifexists").text(f"{folder}/{name}")
+    spark.createDataFrame([(x,) for x in logs], "value string").coalesce(1).write.mode("errorifexists").text(f"{folder}/logs")
+    if predictions is not None:
+        write_table(predictions, f"{folder}/predictions")
+    return folder
