@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lexispan.operators.rules import surface_matches
+from lexispan.session import dealt, spread
 
 NEVER = -math.inf
 
@@ -225,7 +226,7 @@ def lattice_summary(frame: DataFrame, *, key: str = "surface_text", identity: fl
                 rows.append((surface, float(lattice.paths()), lattice.forward(score)[-1], value, "".join(e.text for e in way)))
             yield pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*rows, strict=True)] if rows else [], names=[key, "paths", "log_partition", "best_score", "best_text"])
 
-    return frame.select(key, "edges").mapInArrow(run, f"{key} string, paths double, log_partition double, best_score double, best_text string")
+    return dealt(frame.select(key, "edges"), key).mapInArrow(run, f"{key} string, paths double, log_partition double, best_score double, best_text string")
 
 
 def ngram_expectations(frame: DataFrame, model: NGrams, *, key: str = "surface_text") -> DataFrame:
@@ -249,7 +250,7 @@ def ngram_expectations(frame: DataFrame, model: NGrams, *, key: str = "surface_t
                 [pa.array([k[i] for k in keys], type=pa.string()) for i in range(3)] + [pa.array([sums[k] for k in keys], type=pa.float64())], names=["kind", "a", "b", "mass"]
             )
 
-    return frame.select(key, "edges").mapInArrow(run, "kind string, a string, b string, mass double").groupBy("kind", "a", "b").agg(F.sum("mass").alias("mass"))
+    return spread(frame.select(key, "edges")).mapInArrow(run, "kind string, a string, b string, mass double").groupBy("kind", "a", "b").agg(F.sum("mass").alias("mass"))
 
 
 def surface_model(surfaces: list[str], alphabet: set[str], *, order: int, alpha: float) -> NGrams:

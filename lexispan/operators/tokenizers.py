@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -46,21 +47,25 @@ def encode_characters(texts: DataFrame, text: str, vocabulary: DataFrame) -> Dat
     return texts.crossJoin(F.broadcast(ids)).withColumn("encoding", F.when(F.col(text).isNotNull(), coded)).drop("_map")
 
 
-def byte_ids(text: Column) -> Column:
-    """4 + each byte of the text in UTF-8."""
-    hexed = F.hex(F.encode(text, "UTF-8"))
-    n = F.octet_length(text)
-    places = F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
-    return F.transform(places, lambda i: F.conv(F.substr(hexed, i * 2 + 1, F.lit(2)), 16, 10).cast("int") + 4)
+def _bytes_of(texts: pd.Series) -> pd.DataFrame:
+    rows = []
+    for text in texts:
+        if text is None or text != text:
+            rows.append((None, None, None, None))
+            continue
+        data = np.frombuffer(text.encode("utf-8"), dtype=np.uint8)
+        owners = np.cumsum((data & 0xC0) != 0x80) - 1  # a byte that doesn't continue a character begins one
+        rows.append(((data.astype(np.int32) + len(SPECIALS)).tolist(), [_BYTE_PIECES[x] for x in data.tolist()], owners.tolist(), (owners + 1).tolist()))
+    return pd.DataFrame(rows, columns=["ids", "pieces", "starts", "ends"])
+
+
+_BYTE_PIECES = [f"<0x{x:02X}>" for x in range(256)]
 
 
 def byte_encoding(text: Column) -> Column:
-    """One token for each byte; its span is the character that it belongs to."""
-    widths = F.transform(characters(text), lambda c: F.octet_length(c))
-    n = F.size(widths)
-    owners = F.flatten(F.transform(F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>")), lambda i: F.array_repeat(i, F.get(widths, i))))
-    ids = byte_ids(text)
-    return F.when(text.isNotNull(), _encoding(ids, F.transform(ids, lambda b: F.format_string("<0x%02X>", b - 4)), owners, F.transform(owners, lambda i: i + 1)))
+    """One token for each byte, 4 and more; its span is the character that it belongs to.  One pass over each text."""
+    encoded = F.pandas_udf(ENCODING)(_bytes_of)(text)
+    return F.when(text.isNotNull(), encoded)
 
 
 def _spans(split: Callable[[str], list[str]], ids: Callable[[str], int] | None):

@@ -111,9 +111,15 @@ def _release_at_exit() -> None:
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """Rows read from fewer files than there are cores, dealt over all cores, for work that is heavy for each row; larger inputs stay as they are."""
+    """Rows that are read in fewer pieces than there are cores, dealt over all cores, for work that is heavy for each row; larger inputs, also single large files, stay as they are."""
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if len(df.inputFiles()) < cores else df
+    return df.repartition(cores) if df._jdf.rdd().getNumPartitions() < cores else df
+
+
+def dealt(df: DataFrame, *columns: str) -> DataFrame:
+    """Rows dealt by columns into as many partitions as a shuffle has, and at least one for each core: a count that is asked for isn't reduced for small tables, where each row is heavy."""
+    spark = df.sparkSession
+    return df.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism), *columns)
 
 
 _SHIPPED: set[str] = set()
