@@ -161,6 +161,56 @@ def test_radius_is_safe():
             assert overlap.near_in_pairs([x], [y], percent).all()
 
 
+def test_counts_and_moves_are_safe():
+    rng = random.Random(9)
+    for text in lines(rng, 60):
+        x = letters(text)
+        for _ in range(6):
+            start = rng.randrange(len(x) - 8)  # a block that stays whole, with edits before and after it
+            before, after = (mutated(rng, part, rng.randrange(min(5, len(part)) or 1)) for part in (x[:start], x[start + 8 :]))
+            y = before + x[start : start + 8] + after
+            a, b = overlap._plain_counts(overlap.count_codes([x, y]))
+            edits = distance(x[:start], before) + distance(x[start + 8 :], after)
+            moved = abs(start - len(before)) + abs(len(x) - start - 8 - len(after))
+            assert overlap.count_distance(a[:1], b[:1])[0] + overlap.count_distance(a[1:], b[1:])[0] <= 2 * edits - moved
+
+
+def test_hardly_any_pairs_by_chance_leave_a_bucket():
+    rng = random.Random(14)
+    words = ["".join(rng.choice("kgtdnpbmrlvs") + rng.choice("aiueo") for _ in range(rng.randrange(2, 6))) for _ in range(1500)]
+    texts = ["".join(rng.choice(words) for _ in range(rng.randrange(7, 16))) for _ in range(12_000)]
+    sizes, ids, whole = np.array([len(t) for t in texts]), np.arange(len(texts)) * 4 + 1, overlap.count_codes(texts)
+    owner, place, code = overlap.window_blocks(texts, 8, 5)
+    sides = [overlap._Side([overlap._pack(owner[s], place[s], code[s] & np.uint64(0xFFFFFFFF), ids, whole, sizes)]) for s in (owner % 5 > 0, owner % 5 == 0)]
+    compared = []
+    pairs, _ = overlap._meet(*sides, 15, 0, compared)
+    assert compared[0] > 100_000 and len(pairs) < compared[0] / 500
+
+
+def test_pairs_are_verified_a_share_at_a_time(spark, monkeypatch):
+    rng = random.Random(15)
+    base = [letters(t) for t in lines(rng, 40)]
+    rows = [(4 * i + 1, 0, i, x) for i, x in enumerate(base)] + [(4 * i + 2, 1, i, letters(mutated(rng, x, 3))) for i, x in enumerate(base)]
+    classes = spark.createDataFrame(rows, "class_id long, h1 long, h2 long, letters string")
+    kept, largest = [0], [0]
+    make, drop = overlap.cut, overlap.drop_cut
+    monkeypatch.setattr(overlap, "drop_cut", lambda df: (kept.__setitem__(0, kept[0] - 1), drop(df)))
+
+    def tables():
+        for k in range(6):
+            some = [(4 * i + 1, 4 * j + 2) for i in range(40) for j in range(40) if i == j or (i + j) % 6 == k]
+            kept[0] += 1
+            largest[0] = max(largest[0], kept[0])
+            yield make(spark.createDataFrame(some, "train_class long, held_class long")), len(some)
+
+    want = sorted((4 * i + 1, 4 * j + 2) for i, x in enumerate(base) for j in range(40) for y in (rows[40 + j][3],) if distance(x, y) * 100 <= 15 * max(len(x), len(y)))
+    for most, tables_kept in ((10_000, 6), (400, 2), (100, 1)):
+        kept[0] = largest[0] = 0
+        got = overlap.verified_pairs(tables(), classes, 15, most)
+        assert sorted((r.train_class, r.held_class) for r in got.collect()) == want and len(want) >= 40
+        assert (kept[0], largest[0]) == (0, tables_kept)
+
+
 @pytest.mark.parametrize("partitions", [1, 7])
 def test_top_n_equals_sort(spark, partitions):
     rng = random.Random(1)
