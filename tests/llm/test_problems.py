@@ -3,6 +3,7 @@
 import math
 import random
 import unicodedata
+from operator import itemgetter
 
 import numpy as np
 import pytest
@@ -187,6 +188,25 @@ def test_hardly_any_pairs_by_chance_leave_a_bucket():
     assert compared[0] > 100_000 and len(pairs) < compared[0] / 500
 
 
+def test_common_windows_are_counted_over_all_records(spark):
+    rng = random.Random(16)
+    syllables = lambda n: "".join(rng.choice("kgtdnpbmrlvs") + rng.choice("aiueo") for _ in range(n // 2))
+    texts = [syllables(30) for _ in range(110_000)]
+    i = 0
+    for k in range(20):  # phrases in 0.95 to 1.05 % of all records
+        phrase = syllables(24)
+        for i in range(i + 1, i + 1045 + 6 * k):
+            texts[i] += phrase
+    classes = spark.createDataFrame([(4 * i + 1 + i % 2, x) for i, x in enumerate(texts)], "class_id long, letters string")
+    held = {}
+    for i, code in set(zip(*(x.tolist() for x in itemgetter(0, 2)(overlap.window_blocks(texts, 8, 5))), strict=True)):
+        held.setdefault(code, [0, 0])[i % 2] += 1
+    for hot_pairs in (10_000, 308_000):
+        want = {c for c, (t, h) in held.items() if t + h >= len(texts) // 100 and t * h > hot_pairs}
+        assert set(overlap.common_windows(classes, len(texts), 8, 5, hot_pairs).tolist()) == want and 5 < len(want) < 100
+    assert len(overlap.common_windows(classes, len(texts), 8, 5, len(texts) ** 2)) == 0
+
+
 def test_pairs_are_verified_a_share_at_a_time(spark, monkeypatch):
     rng = random.Random(15)
     base = [letters(t) for t in lines(rng, 40)]
