@@ -183,9 +183,11 @@ def test_hardly_any_pairs_by_chance_leave_a_bucket():
     sizes, ids, whole = np.array([len(t) for t in texts]), np.arange(len(texts)) * 4 + 1, overlap.count_codes(texts)
     owner, place, code = overlap.window_blocks(texts, 8, 5)
     sides = [overlap._Side([overlap._pack(owner[s], place[s], code[s] & np.uint64(0xFFFFFFFF), ids, whole, sizes)]) for s in (owner % 5 > 0, owner % 5 == 0)]
+    _, at = np.unique(code, return_inverse=True)
+    shared = int((np.bincount(at[owner % 5 > 0], minlength=at.max() + 1) * np.bincount(at[owner % 5 == 0], minlength=at.max() + 1)).sum())
     compared = []
     pairs, _ = overlap._meet(*sides, 15, 0, compared)
-    assert compared[0] > 100_000 and len(pairs) < compared[0] / 500
+    assert shared > 400_000 and compared[0] < shared / 4 and len(pairs) < shared / 2000
 
 
 def test_common_windows_are_counted_over_all_records(spark):
