@@ -6,6 +6,7 @@ spans in characters of the text.  A null text has a null encoding.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable
 
 import numpy as np
@@ -68,6 +69,18 @@ def byte_encoding(text: Column) -> Column:
     return F.when(text.isNotNull(), encoded)
 
 
+_BYTE_IDS = [str(x + len(SPECIALS)) for x in range(256)]
+
+
+def _byte_digests(texts: pd.Series) -> pd.Series:
+    return pd.Series([None if text is None or text != text else hashlib.md5(" ".join(map(_BYTE_IDS.__getitem__, text.encode("utf-8"))).encode()).hexdigest() for text in texts], dtype=object)
+
+
+def byte_id_digest(text: Column) -> Column:
+    """MD5 of the ids of byte_encoding, separated by spaces; only one text's ids are in memory at once, and none leave the worker."""
+    return F.pandas_udf(_byte_digests, T.StringType())(text)
+
+
 def _spans(split: Callable[[str], list[str]], ids: Callable[[str], int] | None):
     def run(texts: pd.Series) -> pd.DataFrame:
         rows = []

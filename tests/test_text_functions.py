@@ -100,3 +100,21 @@ def test_light_normaliser_and_tokens(spark):
     assert applied(spark, normalize.light_devanagari, [" । राम  गच्छति ।सीता ,\r\n\n\n\nवनम् ॥ ", None]) == ["राम गच्छति। सीता,\n\nवनम्॥", None]
     join = lambda c: spacing.joined_tokens(spacing.longest_iast_tokens(c))
     assert applied(spark, join, ["a 'a", "t t", "t a", "a t", "t h"]) == [["a", "'", "a"], ["t", "t"], ["t", "a"], ["a", " ", "t"], ["t", "h"]]
+
+
+def test_byte_digests_hold_one_text_at_a_time(spark):
+    import tracemalloc
+
+    import pandas as pd
+
+    from lexispan.operators import tokenizers
+
+    texts = ["", "rāma", None, "aḥ" * 50]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string")
+    plain = F.md5(F.array_join(tokenizers.byte_encoding(F.col("t"))["ids"].cast("array<string>"), " "))
+    assert rows.where(~tokenizers.byte_id_digest(F.col("t")).eqNullSafe(plain)).isEmpty()
+    many = pd.Series(["rāma" * 500] * 400)
+    tracemalloc.start()
+    tokenizers._byte_digests(many)
+    assert tracemalloc.get_traced_memory()[1] < 1_000_000  # the lists of all ids took over 100 MB
+    tracemalloc.stop()
